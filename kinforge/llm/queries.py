@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, records, sharding, simhash, substring
+from . import bpe, packing, records, sharding, simhash, substring, vectors
 from .tokens import default_path
 
 
@@ -22,6 +22,14 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.tree_of(40), sharding.tree_of(41))
 
 
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), default_path())
+
+
+def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op4_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op4_relative_lz, op5_multi_index_simhash, op9_record_files, op10_batched_bpe)}
+    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_pattern_packing, op3_pivot_permutation, op4_relative_lz, op5_multi_index_simhash, op9_record_files, op10_batched_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
