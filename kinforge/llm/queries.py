@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_mil, quality_rules, records, sharding, simhash, substring, vectors
+from . import bpe, html_text, packing, quality_mil, quality_rules, records, sharding, simhash, substring, vectors
 from .tokens import default_path
 
 
@@ -38,6 +38,10 @@ def op5_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.learn())
+
+
 def op7_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +61,7 @@ def op10_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_pattern_packing, op3_pivot_permutation, op4_relative_lz, op5_multi_index_simhash, op7_boosted_rules, op8_attention_mil, op9_record_files, op10_batched_bpe)}
+    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_pattern_packing, op3_pivot_permutation, op4_relative_lz, op5_multi_index_simhash, op6_dom_model, op7_boosted_rules, op8_attention_mil, op9_record_files, op10_batched_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
