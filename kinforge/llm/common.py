@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a batch with more is cut between rows.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,12 +86,12 @@ def gapless(df: DataFrame, groups: list[str], order: list[str], n_sub: int, out:
     return numbered.join(before, [*names, "_sub"]).withColumn(out, F.col("_rn") + F.col("_before")).drop(*names, "_sub", "_rn", "_before")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text"):
-    """Row slices of the batch that hold about SLICE_BYTES of text each (a longer text comes alone)."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
+    """Row slices of the batch that hold about `most` bytes of text each (a longer text comes alone)."""
     if not batch.num_rows:
         return
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    block = (np.cumsum(size) - 1) // SLICE_BYTES
+    block = (np.cumsum(size) - 1) // most
     cuts = np.flatnonzero(np.diff(block)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True):
         yield batch.slice(lo, hi - lo)

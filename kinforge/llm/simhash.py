@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, discard, materialize, pick, slices
@@ -22,7 +22,7 @@ from .components import components
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-STEP = 1 << 18
+STEP, PASS_BYTES = 1 << 16, 4 << 20
 #: A segment value with more distinct fingerprints is searched by whole Hamming balls instead.
 CROWDED = 2_000
 
@@ -51,9 +51,9 @@ def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
     last = np.minimum(first + width, off[which + 1]) - 1
     digest = xxhash.xxh64_intdigest
     sums = np.zeros((n_docs, 64), np.int64)
-    a, b = start[first].tolist(), end[last].tolist()
     for lo in range(0, len(which), STEP):
-        h = np.fromiter((digest(data[x:y], 42) for x, y in zip(a[lo : lo + STEP], b[lo : lo + STEP], strict=True)), np.uint64)
+        a, b = start[first[lo : lo + STEP]].tolist(), end[last[lo : lo + STEP]].tolist()
+        h = np.fromiter((digest(data[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
         own = which[lo : lo + STEP]
         heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -67,7 +67,7 @@ def fingerprint_table(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PASS_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text"), width).view(np.int64))], ["doc_id", "fp"])
 
     return pick(docs, doc_id, text).toDF("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -124,3 +124,13 @@ def near_copies(docs: DataFrame, width: int = 3, crowded: int = CROWDED) -> Data
     out = table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     discard(groups)
     return out
+
+
+def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The documents with the smallest doc_id of each group of near copies, with all their columns; of
+    rows that share that doc_id one stays. Rows without doc_id stay if nothing with one is near them."""
+    named = near_copies(docs, width)
+    first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.withColumn("_nth", F.row_number().over(one)).where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
