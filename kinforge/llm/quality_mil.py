@@ -146,3 +146,14 @@ def score_documents(docs: DataFrame, model: Model, cut: float = CUT) -> DataFram
 
     out = pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("score"), "predicted")
+
+
+def filter_documents(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The documents that are predicted as label 1, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(*passages(part.column("text"))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

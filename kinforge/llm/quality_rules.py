@@ -34,6 +34,10 @@ def counts(s: TextStats) -> dict[str, np.ndarray]:
     }
 
 
+def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
+    return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+
+
 def features(s: TextStats, c: dict[str, np.ndarray]) -> np.ndarray:
     """One row per text; rates are per word, character or line."""
     lines = s.lines()
@@ -155,8 +159,20 @@ def judge(docs: DataFrame, model: Trees, keep_at: float = KEEP_AT) -> DataFrame:
             for part in slices(batch):
                 s = TextStats(part.column("text"))
                 c = counts(s)
-                failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-                score = model.score(features(s, c))
+                failed, score = base_failed(c), model.score(features(s, c))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(v.astype(np.int64)) for v in c.values()], pa.array(failed), pa.array(~failed & (score >= keep_at)), pa.array(score)], ["doc_id", *c, "base_failed", "kept", "score"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, RESULT)
+
+
+def filter_documents(docs: DataFrame, model: Trees, keep_at: float = KEEP_AT) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                s = TextStats(part.column("text"))
+                c = counts(s)
+                yield part.filter(pa.array(~base_failed(c) & (model.score(features(s, c)) >= keep_at)))
+
+    return docs.mapInArrow(run, docs.schema)

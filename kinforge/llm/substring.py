@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pick, slices
+from .common import Words, slices
 
 WINDOW, GRAM = 20, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -267,10 +267,12 @@ def spans(blob: bytes | None) -> list[dict]:
     return [{"start": int(x["start"]), "end": int(x["start"] + x["n"] + WINDOW - 1), "src_doc": int(x["src_doc"]), "src_start": int(x["src_start"])} for x in f]
 
 
-def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their factors: doc_id, text, factors (binary, FACTOR rows; null if none)."""
-    rows = pick(docs, doc_id, text).toDF("doc_id", "text")
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_tie"))
+def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The documents with their factors: doc_id, text, factors (list of blobs of FACTOR rows; null if
+    none), and a struct `carried` of the columns to carry along."""
+    other = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), other.alias("carried"))
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_tie"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 100_000))
@@ -278,7 +280,7 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = sent.repartition(parts, "part").mapInArrow(parse, FOUND)
     per_doc = found.groupBy("doc_id", "tie").agg(F.collect_list("factors").alias("_list"))
     per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "_list")
-    return rows.join(per_doc, ["_doc", "_tie"], "left").select("doc_id", "text", F.col("_list").alias("factors"))
+    return rows.join(per_doc, ["_doc", "_tie"], "left").select("doc_id", "text", F.col("_list").alias("factors"), *(["carried"] if carry else []))
 
 
 def _joined(values: list | None) -> bytes | None:
@@ -308,22 +310,47 @@ def digests(docs: DataFrame) -> DataFrame:
     return with_factors(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def _kept_texts(part: pa.RecordBatch) -> tuple[list[str | None], list[bytes | None]]:
+    """Texts without what is covered (those that lose nothing stay as they are), and their factors."""
+    blobs = [_joined(x) for x in part.column("factors").to_pylist()]
+    words = Words(part.column("text"))
+    gone = covered(words, blobs)
+    texts = part.column("text").to_pylist()
+    for row, blob in enumerate(blobs):
+        if blob:
+            a, b = words.offsets[row], words.offsets[row + 1]
+            texts[row] = " ".join(words.flat[a:b].filter(pa.array(~gone[a:b])).to_pylist())
+    return texts, blobs
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, text and spans of each document; a text that lost words is its kept words with one space
     between them, all others stay as they are (null too)."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("src_doc", pa.int64()), ("src_start", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("src_doc", pa.int64()), ("src_start", pa.int64())]))
         for batch in batches:
             for part in slices(batch):
-                blobs = [_joined(x) for x in part.column("factors").to_pylist()]
-                words = Words(part.column("text"))
-                gone = covered(words, blobs)
-                texts = part.column("text").to_pylist()
-                for row, blob in enumerate(blobs):
-                    if blob:
-                        a, b = words.offsets[row], words.offsets[row + 1]
-                        texts[row] = " ".join(words.flat[a:b].filter(pa.array(~gone[a:b])).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array([spans(b) for b in blobs], schema)], ["doc_id", "text", "spans"])
+                texts, blobs = _kept_texts(part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array([spans(b) for b in blobs], kind)], ["doc_id", "text", "spans"])
 
     return with_factors(docs).mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,end:long,src_doc:long,src_start:long>>")
+
+
+def replace_texts(docs: DataFrame) -> DataFrame:
+    """The same table with deduplicated texts; a column n_chars follows the text."""
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts, _ = _kept_texts(part)
+                cols = {"doc_id": part.column("doc_id"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+                if other:
+                    cols["carried"] = part.column("carried")
+                yield pa.RecordBatch.from_pydict(cols)
+
+    rows = with_factors(docs, carry=other)
+    kinds = "doc_id long, text string, n_chars long" + (f", carried {rows.schema['carried'].dataType.simpleString()}" if other else "")
+    out = rows.mapInArrow(run, kinds)
+    return out.select(*[F.col("carried").getField(c).alias(c) if c in other else F.col(c) for c in docs.columns])
