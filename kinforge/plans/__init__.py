@@ -1,3 +1,5 @@
 """Registered queries, by family. Each registry has queries() and oracle_sql()."""
 
-REGISTRIES: list = []
+from . import decisions, retrieval
+
+REGISTRIES = [retrieval, decisions]
