@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 
 CONFIG = EngineConfig()
-PER_S1 = Window.partitionBy("s1_id")
-RANKED = PER_S1.orderBy(F.desc("prob"), "s23_id")
+
+
+def per_entity():
+    return Window.partitionBy("s1_id")
+
+
+def by_rank():
+    return per_entity().orderBy(F.desc("prob"), "s23_id")
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
     """Adds rnk: place in the entity by probability, from 0."""
-    return pairs.withColumn("rnk", F.row_number().over(RANKED) - 1)
+    return pairs.withColumn("rnk", F.row_number().over(by_rank()) - 1)
 
 
 def groups(pairs: DataFrame, per_bin: bool = True) -> DataFrame:
@@ -39,12 +45,12 @@ def by_threshold(pairs: DataFrame, thresholds: DataFrame, default: float = CONFI
 
 def expected_f(pairs: DataFrame, min_prob: float = CONFIG.min_prob) -> DataFrame:
     """selected: the prefix that maximises expected F0.5, if it beats the empty set strictly."""
-    running = RANKED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = pairs.withColumns({"j": F.row_number().over(RANKED), "tp": F.sum("prob").over(running), "total": F.sum("prob").over(PER_S1), "none": F.sum(F.log(F.greatest(1 - F.col("prob"), F.lit(1e-12)))).over(PER_S1)})
+    running = by_rank().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pairs.withColumns({"j": F.row_number().over(by_rank()), "tp": F.sum("prob").over(running), "total": F.sum("prob").over(per_entity()), "none": F.sum(F.log(F.greatest(1 - F.col("prob"), F.lit(1e-12)))).over(per_entity())})
     gain = 1.25 * F.col("tp")
     rows = rows.withColumn("ef", gain / (gain + 0.25 * (F.col("total") - F.col("tp")) + (F.col("j") - F.col("tp"))))
-    rows = rows.withColumn("best", F.max("ef").over(PER_S1))
-    rows = rows.withColumn("stop", F.min(F.when(F.col("ef") == F.col("best"), F.col("j"))).over(PER_S1))
+    rows = rows.withColumn("best", F.max("ef").over(per_entity()))
+    rows = rows.withColumn("stop", F.min(F.when(F.col("ef") == F.col("best"), F.col("j"))).over(per_entity()))
     chosen = (F.col("best") > F.exp("none")) & (F.col("j") <= F.col("stop")) & (F.col("prob") >= min_prob)
     return rows.withColumn("selected", chosen).drop("j", "tp", "total", "none", "ef", "best", "stop")
 
@@ -60,7 +66,7 @@ def rank_ladder(pairs: DataFrame, deltas: tuple[float, float, float] = CONFIG.la
     entity (any pair at its own t) and t + delta[min(r, 3)]. With max_links, ranks from there on need `certain`."""
     rows = ranked(pairs)
     rows = rows.withColumn("_hit", F.col("prob") >= F.col("t"))
-    rows = rows.withColumn("_anchored", F.bool_or("_hit").over(PER_S1))
+    rows = rows.withColumn("_anchored", F.bool_or("_hit").over(per_entity()))
     delta = F.when(F.col("rnk") == 1, deltas[0]).when(F.col("rnk") == 2, deltas[1]).otherwise(deltas[2])
     chosen = F.when(F.col("rnk") == 0, F.col("_hit")).otherwise(F.col("_anchored") & (F.col("prob") >= F.col("t") + delta))
     if max_links:
@@ -71,7 +77,7 @@ def rank_ladder(pairs: DataFrame, deltas: tuple[float, float, float] = CONFIG.la
 def size_adaptive(pairs: DataFrame, floor: float, relax: bool = False) -> DataFrame:
     """Tighten: all but the first need floor. Relax: entities with a selection take all pairs at floor."""
     if relax:
-        anchored = F.bool_or("selected").over(PER_S1)
+        anchored = F.bool_or("selected").over(per_entity())
         return pairs.withColumn("selected", F.col("selected") | (anchored & (F.col("prob") >= floor)))
     return ranked(pairs).withColumn("selected", F.col("selected") & ((F.col("rnk") == 0) | (F.col("prob") >= floor))).drop("rnk")
 
@@ -82,7 +88,7 @@ def rescue(pairs: DataFrame, thresholds: DataFrame, config: EngineConfig = CONFI
     claim = F.col("addr_empty") & (F.col("prob") >= config.rescue_prob)
     claims = Window.partitionBy("s23_id", "_claim").orderBy(F.desc("prob"), "s1_id")
     rows = pairs.join(F.broadcast(thresholds.select("country", F.col("t").alias("_rt"))), "country", "left").withColumn("_claim", claim)
-    rows = rows.withColumns({"_nth": F.row_number().over(claims), "_next": F.lead("prob").over(claims), "_accepted": F.count_if("selected").over(PER_S1)})
+    rows = rows.withColumns({"_nth": F.row_number().over(claims), "_next": F.lead("prob").over(claims), "_accepted": F.count_if("selected").over(per_entity())})
     leads = F.col("_next").isNull() | (F.round(F.col("prob") - F.col("_next"), 9) >= config.rescue_lead)
     saved = F.col("_claim") & (F.col("_nth") == 1) & leads & F.coalesce(F.col("prob") >= F.col("_rt"), F.lit(False)) & ~F.col("selected") & (F.col("_accepted") < config.rescue_links)
     return rows.withColumn("rescued", saved).withColumn("selected", F.col("selected") | F.col("rescued")).drop("_rt", "_claim", "_nth", "_next", "_accepted")
@@ -92,7 +98,7 @@ def street_support(pairs: DataFrame, at: int = 75, unsupported: tuple[int, ...]
     """If any selected pair of an entity has street similarity and no contradicting number, selected
     pairs without both go."""
     good = (F.col("st_tset") >= at) & ~F.col("num_first_rel").isin(*unsupported)
-    anyone = F.bool_or(F.col("selected") & good).over(PER_S1)
+    anyone = F.bool_or(F.col("selected") & good).over(per_entity())
     return pairs.withColumn("selected", F.col("selected") & (~anyone | good))
 
 

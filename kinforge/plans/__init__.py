@@ -1,5 +1,5 @@
 """Registered queries, by family. Each registry has queries() and oracle_sql()."""
 
-from . import decisions, retrieval
+from . import decisions, normalising, relational, retrieval
 
-REGISTRIES = [retrieval, decisions]
+REGISTRIES = [retrieval, decisions, normalising, relational]
