@@ -1,11 +1,11 @@
 """Connected components of a link table, without ever collecting it.
 
-Each round every node takes the smallest of its neighbours and itself as its parent, links are
-rewritten between parents, and links that then join a node to itself go. Of two linked nodes one is no
-local minimum, so at least half of the nodes leave the graph every round; the smallest node of a
-component is always its own parent and is what remains. Sums over neighbours are pre-aggregated, and
-every table that is joined was written before, so that a node with very many links is split by
-adaptive execution.
+Nodes are ordered by a hash. Each round every node takes the first of its neighbours and itself as its
+parent, links are rewritten between parents, and links that then join a node to itself go; a node that
+is nobody's parent leaves the graph. In hashed order a chain has no long descending runs, so the number
+of rounds grows with the logarithm of a component, whatever its ids are. At the end each component has
+one node, and is named by the smallest id that led to it. Minima are pre-aggregated, and every table
+that is joined was written before, so that a node with very many links is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("parent")), "parents")
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("first"))
+        parent = materialize(first.select("node", F.least(order("node"), F.col("first"))["id"].alias("parent")), "parents")
         if labels is None:
             now = parent.select("node", F.col("parent").alias("component"))
         else:
@@ -44,7 +46,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if t is not None:
                 discard(t)
     discard(edges)
-    return labels if labels is not None else links.sparkSession.createDataFrame([], "node long, component long")
+    if labels is None:
+        return links.sparkSession.createDataFrame([], "node long, component long")
+    least = materialize(labels.groupBy("component").agg(F.min("node").alias("least")), "names")
+    return labels.join(least.hint("merge"), "component").select("node", F.col("least").alias("component"))
 
 
 def _chained(parent: DataFrame) -> DataFrame:
