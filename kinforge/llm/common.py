@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a batch with more is cut between rows.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -128,9 +128,10 @@ def near_copies(docs: DataFrame, width: int = 3, crowded: int = CROWDED) -> Data
 
 def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
     """The documents with the smallest doc_id of each group of near copies, with all their columns; of
-    rows that share that doc_id one stays. Rows without doc_id stay if nothing with one is near them."""
+    rows that share that doc_id one stays. Rows without doc_id all stay: no group can be named by them.
+    Texts are shuffled once, by doc_id."""
     named = near_copies(docs, width)
-    first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    first = named.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(one)).where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -52,7 +52,7 @@ def mapped(piece: str) -> str:
 class Memo:
     """Remembers a list of ids, and what else `tell` says, for each chunk."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 600_000):
         self.limit = limit
         self.clear()
 
