@@ -34,8 +34,9 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 DOC = np.dtype([("doc", "<i8"), ("tie", "<i8")])
 RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "<u2")])
 FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("src_doc", "<i8"), ("src_start", "<u4")])
-#: Input bytes for one partition of blocks.
-PART_BYTES = 8 << 20
+#: Input bytes for one partition of blocks, and keys that are dealt to a partition on average: with one
+#: key a partition, some would get four and others none.
+PART_BYTES, PART_KEYS = 3 << 20, 16
 NO_ID = -(2**63)
 
 
@@ -276,7 +277,7 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 100_000))
-    sent = rows.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "text").mapInArrow(lambda it: emit(it, parts), "part int, blob binary")
+    sent = rows.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "text").mapInArrow(lambda it: emit(it, parts * PART_KEYS), "part int, blob binary")
     found = sent.repartition(parts, "part").mapInArrow(parse, FOUND)
     per_doc = found.groupBy("doc_id", "tie").agg(F.collect_list("factors").alias("_list"))
     per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "_list")
