@@ -276,6 +276,8 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     rows = rows.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_tie"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # no estimate for rows that come from no file
+        size = docs.agg(F.sum(F.octet_length(f"`{text}`")).alias("n")).first()["n"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 100_000))
     sent = rows.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "text").mapInArrow(lambda it: emit(it, parts * PART_KEYS), "part int, blob binary")
     found = sent.repartition(parts, "part").mapInArrow(parse, FOUND)
