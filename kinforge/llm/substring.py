@@ -263,9 +263,17 @@ def covered(words: Words, found: list[bytes | None]) -> np.ndarray:
 
 
 def spans(blob: bytes | None) -> list[dict]:
-    """Factors of one document as spans of words: start, end, src_doc, src_start, in order."""
-    f = np.sort(np.frombuffer(blob or b"", FACTOR), order=["start"])
-    return [{"start": int(x["start"]), "end": int(x["start"] + x["n"] + WINDOW - 1), "src_doc": int(x["src_doc"]), "src_start": int(x["src_start"])} for x in f]
+    """Factors of one document as spans of words: start, end, src_doc, src_start, in order. Factors of
+    neighbouring blocks that go on in the same source are one."""
+    out: list[dict] = []
+    for x in np.sort(np.frombuffer(blob or b"", FACTOR), order=["start"]).tolist():
+        start, n, doc, at = x
+        last = out[-1] if out else None
+        if last and start == last["end"] - WINDOW + 1 and doc == last["src_doc"] and at - last["src_start"] == start - last["start"]:
+            last["end"] += n
+        else:
+            out.append({"start": start, "end": start + n + WINDOW - 1, "src_doc": doc, "src_start": at})
+    return out
 
 
 def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
