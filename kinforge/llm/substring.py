@@ -37,7 +37,8 @@ FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("src_doc", "<i8"), ("src_sta
 #: Input bytes for one partition of blocks, and keys that are dealt to a partition on average: with one
 #: key a partition, some would get four and others none.
 PART_BYTES, PART_KEYS = 3 << 20, 16
-NO_ID = -(2**63)
+#: Rows without doc_id come after all others, so that they shadow none that has one.
+NO_ID = 2**63 - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -303,7 +304,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
     Null, empty and short texts have nothing removed. Of equal texts the one with the smallest doc_id
     stays. Rows with one doc_id but different texts count as documents in the order of a hash of their
-    texts; rows repeated in full are one document, and each is returned. Other columns are ignored.
+    texts; rows repeated in full are one document, and each is returned. Rows without doc_id come after
+    all others, in the order of that hash. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
