@@ -93,12 +93,13 @@ def close_pairs(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     hot = not counts.isEmpty()
     index = table.join(counts, ["seg", "value"], "left_anti") if hot else table
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = probe.join(index.withColumnRenamed("fp", "b"), ["seg", "value"]).where((F.col("a") != F.col("b")) & (near <= 2)).select("a", "b")
+    # The planner takes exploded rows for as few as their source has and would broadcast the balls.
+    pairs = probe.join(index.withColumnRenamed("fp", "b").hint("merge"), ["seg", "value"]).where((F.col("a") != F.col("b")) & (near <= 2)).select("a", "b")
     if hot:
         held = table.join(counts, ["seg", "value"], "left_semi").select("fp").distinct()
         one = held.select("fp", F.explode(_ball64(F.col("fp"))).alias("x"))
         two = one.select(F.col("fp").alias("a"), F.explode(_ball64(F.col("x"))).alias("b")).where("a <> b").distinct()
-        pairs = pairs.union(two.join(fps.select(F.col("fp").alias("b")), "b").select("a", "b"))
+        pairs = pairs.union(two.join(fps.select(F.col("fp").alias("b")).hint("merge"), "b").select("a", "b"))
     return pairs
 
 
