@@ -7,6 +7,7 @@ stated, bounded number.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a batch with more is cut between rows.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python; Spark's own default (64 MB) holds one on both sides
+#: of every running task.
+BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,9 +66,26 @@ def discard(df: DataFrame) -> None:
             _remove(df.sparkSession, f)
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of their session are made small, unless it has a setting of its own."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return docs
+
+
+def trim() -> None:
+    """Gives free memory of this process back: workers are used again and would keep what a large pass took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def pick(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns with clashing names never meet our own."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+    return bounded_batches(docs).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def gapless(df: DataFrame, groups: list[str], order: list[str], n_sub: int, out: str) -> DataFrame:
@@ -95,6 +116,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     cuts = np.flatnonzero(np.diff(block)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True):
         yield batch.slice(lo, hi - lo)
+    trim()
 
 
 class Words:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import bounded_batches, pick, slices
 from .stats import CLASSES, TRAIN_ROWS, TextStats, held_out, labelled, sums
 
 PASSAGE = 48
@@ -156,4 +156,4 @@ def filter_documents(docs: DataFrame, model: Model, cut: float = CUT) -> DataFra
             for part in slices(batch):
                 yield part.filter(pa.array(model.score(*passages(part.column("text"))) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

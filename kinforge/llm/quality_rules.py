@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, slices
+from .common import bounded_batches, pick, slices
 from .stats import TRAIN_ROWS, TextStats, labelled
 
 #: Features, and the sign of their constraint (0: free).
@@ -175,4 +175,4 @@ def filter_documents(docs: DataFrame, model: Trees, keep_at: float = KEEP_AT) ->
                 c = counts(s)
                 yield part.filter(pa.array(~base_failed(c) & (model.score(features(s, c)) >= keep_at)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words
+from .common import Words, pick
 from .substring import grams, mix, window_starts
 
 #: Words of a window that counts as repeated.
@@ -119,4 +119,4 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Data
     doc_id with several labels the lowest counts. Rows without a label or doc_id are left out."""
     rows = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
     chosen = rows.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")

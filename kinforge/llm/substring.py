@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, bounded_batches, slices, trim
 
 WINDOW, GRAM = 20, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -249,6 +249,8 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = doc[first[at]]
         own, fac = factors(doc[at], start[at], src, start[first[at]], kinds["doc"][src])
         yield rows_of(kinds, own, fac)
+    del run, of, whole, anchor, doc, start, key, order, heads, first
+    trim()
 
 
 def covered(words: Words, found: list[bytes | None]) -> np.ndarray:
@@ -281,7 +283,7 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     """The documents with their factors: doc_id, text, factors (list of blobs of FACTOR rows; null if
     none), and a struct `carried` of the columns to carry along."""
     other = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), other.alias("carried"))
+    rows = bounded_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), other.alias("carried"))
     rows = rows.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_tie"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
