@@ -27,13 +27,12 @@ STEP, PASS_BYTES = 1 << 16, 4 << 20
 CROWDED = 2_000
 
 
-def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
-    """uint64 fingerprints. A bit is 1 if set in over half of the shingles' XXH64 (seed 42)."""
+def hashed_shingles(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts' numbers, XXH64 with seed 42 of their shingles), in text order, STEP shingles at a time."""
     words = Words(texts)
     n_docs = len(words.offsets) - 1
-    out = np.zeros(n_docs, np.uint64)
     if not len(words):
-        return out
+        return
     off, counts = words.offsets, words.counts
     lists = pa.LargeListArray.from_arrays(pa.array(off), words.flat.cast(pa.large_string()))
     joined = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
@@ -50,11 +49,20 @@ def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
     first = off[which] + np.arange(len(which)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = np.minimum(first + width, off[which + 1]) - 1
     digest = xxhash.xxh64_intdigest
-    sums = np.zeros((n_docs, 64), np.int64)
     for lo in range(0, len(which), STEP):
         a, b = start[first[lo : lo + STEP]].tolist(), end[last[lo : lo + STEP]].tolist()
-        h = np.fromiter((digest(data[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
-        own = which[lo : lo + STEP]
+        yield which[lo : lo + STEP], np.fromiter((digest(data[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+
+
+def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
+    """uint64 fingerprints. A bit is 1 if set in over half of the shingles' XXH64 (seed 42)."""
+    return _majority(len(texts), hashed_shingles(texts, width))
+
+
+def _majority(n_docs: int, hashed) -> np.ndarray:
+    sums, shingles = np.zeros((n_docs, 64), np.int64), np.zeros(n_docs, np.int64)
+    for own, h in hashed:
+        shingles += np.bincount(own, minlength=n_docs)
         heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         sums[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -302,6 +303,39 @@ def test_simhash_edges(odd, none):
     assert len(ids) == len(set(ids)) and 5 not in ids and 4 in ids
 
 
+def test_near_dedup_finds_every_pair_of_the_threshold(spark):
+    """The stage against brute-force Jaccard of 5-word shingles; near copies are many bits apart."""
+    def shingles(text):
+        w = re.findall(r"[^\x20\t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    r = random.Random(11)
+    made = []
+    for k in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice((6, 14, 60, 100, 150)))]
+        made.append(base)
+        for _ in range(k % 4):
+            copy = list(base)
+            for _ in range(1 + len(base) // 50):
+                copy[r.choice((-1, r.randrange(len(copy))))] = f"x{r.randrange(9)}"
+            made.append(copy + ["tail"] * r.randrange(2))
+    made += [["one"], ["ONE"], [], []]
+    texts = [(i, " ".join(w)) for i, w in enumerate(made)]
+    texts += [(10_000 + x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    sets = {i: shingles(t) for i, t in texts}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            lo, hi = sorted((group[a], group[b]))
+            group = {i: lo if g == hi else g for i, g in group.items()}
+    far = sum((slow_fingerprint(texts[i][1]) ^ slow_fingerprint(texts[g][1])).bit_count() > 2 for i, g in group.items() if i < len(made))
+    assert far > 5
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(x.doc_id for x in got) == sorted(i for i, g in group.items() if i == g)
+
+
 # Records --------------------------------------------------------------------------------------------
 def test_records(spark, documents, rows, odd, none, tmp_path):
     enc = tokens.Encoder(PATH)
