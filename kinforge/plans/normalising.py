@@ -9,9 +9,11 @@ from ..functions import native as V
 from ..functions import tables as T
 from ..functions.comparators import compare
 from ..operators import features as P
+from ..operators import learning as L
 from ..sources import fixtures as X
 
 COUNTRIES = X.duck_sql(X.ER_RECORDS)
+INDIC = "[\u0900-\u0DFF]"
 
 
 def script_detect(spark, sf_dir):
@@ -80,8 +82,29 @@ def postal_component(spark, sf_dir):
     return o.select("o_orderkey", V.postal(text).alias("postal"))
 
 
+def _normalized(spark, sf_dir):
+    """All records, normalised with the vocabulary of S1 names and the transliterations of known owners' names."""
+    r = X.records(spark, sf_dir)
+    return N.normalize(r, *learned(r))
+
+
+def learned(records):
+    """({word: log probability} of S1 names, {Indic word: Latin word} of the names of known owners). Where a
+    pair's names have as many words all are set side by side, else the first and the last."""
+    s1 = records.where(F.startswith("entity_id", F.lit("S1-")))
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(V.fold(F.col(c))), "[^a-z0-9]+", " "), " "), lambda x: F.length(x) >= 2)
+    logp = L.vocabulary(s1.select(F.explode(words("business_name")).alias("token")))
+    one = s1.select(F.col("entity_id").alias("owner_id"), F.filter(F.split(F.regexp_replace(F.lower(V.fold(F.col("business_name"))), "[^a-z0-9]+", " "), " "), lambda x: x != "").alias("b"))
+    indic = F.filter(F.split("business_name", r"\s+"), lambda x: x.rlike(INDIC))
+    two = records.where(F.col("owner_id").isNotNull() & F.col("business_name").rlike(INDIC)).select("owner_id", indic.alias("a"))
+    side = two.join(one, "owner_id").where("size(b) > 0")
+    ends = F.expr("case when size(a) = size(b) then arrays_zip(a, b) when size(a) > 1 and size(b) > 1 then array(named_struct('a', a[0], 'b', b[0]), named_struct('a', element_at(a, -1), 'b', element_at(b, -1))) else array(named_struct('a', a[0], 'b', b[0])) end")
+    table = L.modal_partner(side.select(F.explode(ends).alias("z")).select(F.col("z.a").alias("k"), F.col("z.b").alias("y")))
+    return {r.token: r.logp for r in logp.toLocalIterator()}, {r.k: r.y for r in table.toLocalIterator()}
+
+
 def full_normalize(spark, sf_dir):
-    return N.normalize(X.records(spark, sf_dir)).select("entity_id", "country_norm", "name_norm", "name_core", "name_strict", "name_alt", "is_domain", "has_dba", "legal_code", "addr_norm", "street", "admin", "postal", "first_num", "n_components", "addr_empty")
+    return _normalized(spark, sf_dir).select("entity_id", "country_norm", "name_norm", "name_core", "name_strict", "name_alt", "is_domain", "has_dba", "legal_code", "addr_norm", "street", "admin", "postal", "first_num", "n_components", "addr_empty")
 
 
 def _pairs(spark, sf_dir):
@@ -124,7 +147,7 @@ def group_relative_gaps(spark, sf_dir):
 
 def pair_features(spark, sf_dir):
     pairs = X.records(spark, sf_dir).where("owner_id is not null").select(F.col("owner_id").alias("s1_id"), F.col("entity_id").alias("s23_id"))
-    return P.pair_features(pairs, N.normalize(X.records(spark, sf_dir)))
+    return P.pair_features(pairs, _normalized(spark, sf_dir))
 
 
 _R = f"with r as ({COUNTRIES})"

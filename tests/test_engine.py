@@ -16,6 +16,7 @@ from kinforge.operators import learning as L
 from kinforge.operators import validate as Z
 from kinforge.sources import io
 
+SF = "/root/testdata/sf0.001"
 WORDS = N.Vocabulary({w: -8.0 for w in "cardiology safe care mountain view".split()})
 
 
@@ -70,6 +71,18 @@ def test_native_text(spark):
     assert tuple(rows[0]) == ("llcx", "ete Strasse", "71 1 2 3", "59000", 1)
 
 
+def test_full_normalize_learns_its_tables(spark):
+    """Glued names ending in .com (orders with k = 7) come apart into their owner's words; Indic words are learned."""
+    from kinforge.plans import normalising as Q
+
+    rows = {r.entity_id: r for r in Q.full_normalize(spark, SF).select("entity_id", "name_core").collect()}
+    glued = Q.X.records(spark, SF).where("owner_id is not null and business_name like '%.com'").select("entity_id", "owner_id").collect()
+    assert glued and all(rows[g.entity_id].name_core == rows[g.owner_id].name_core and " " in rows[g.owner_id].name_core for g in glued)
+    names = [("S1-1", "Ram Traders", None), ("S1-2", "Ram Foods Ltd", None), ("S2-1", "राम ट्रेडर्स", "S1-1"), ("S3-1", "राम फूड्स", "S1-2")]
+    logp, translit = Q.learned(spark.createDataFrame(names, "entity_id string, business_name string, owner_id string"))
+    assert set(logp) == {"ram"} and translit == {"राम": "ram"}
+
+
 def pairs_of(spark, rows):
     return spark.createDataFrame(rows, "s1_id string, s23_id string, country string, addr_empty boolean, label int, prob double")
 
