@@ -25,10 +25,13 @@ BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or where that is unset
-    (as in tests) a folder of our own, which is then also set as the checkpoint folder."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, or where that is unset and
+    Spark runs in this process alone (as in tests) a folder of our own, which is then also set as the
+    checkpoint folder. On a cluster the setting is required."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="kinforge-")
         spark.conf.set("spark.checkpoint.dir", conf)
         atexit.register(_remove, spark, conf)
@@ -91,22 +94,33 @@ def pick(docs: DataFrame, *columns: str) -> DataFrame:
 def gapless(df: DataFrame, groups: list[str], order: list[str], n_sub: int, out: str) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps, never putting a group into one task.
 
-    A group is dealt by a hash of `order` into n_sub parts; parts are numbered by themselves and then
-    shifted by the counts of the parts before them. Only (groups x n_sub) counts are summed up.
-    Null group keys form one group. Ties in `order` are numbered in any order.
+    df must be a written table (each reading gives it the same partitions). A group is dealt into n_sub
+    parts by a hash of `order` and of the partition a row stands in, so that equal rows are spread too;
+    parts are numbered by themselves and then shifted by the counts of the parts before them. Only
+    (groups x n_sub) counts are summed up. Null group keys form one group. Ties are numbered in any order.
     """
-    sub = F.pmod(F.xxhash64(*order), F.lit(max(1, n_sub))).cast("int")
-    df = df.withColumn("_sub", sub)
+    sub = F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(max(1, n_sub))).cast("int")
     keys = [F.coalesce(F.col(g).cast("long"), F.lit(-1)).alias(f"_g{i}") for i, g in enumerate(groups)]
     names = [f"_g{i}" for i in range(len(groups))]
-    counts = df.select(*keys, "_sub").groupBy(*names, "_sub").count()
+    df = df.select("*", *keys, sub.alias("_sub"))
+    counts = df.groupBy(*names, "_sub").count()
     w = Window.partitionBy(*names).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*names, "_sub", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(*names, "_sub").orderBy(*order)
-    numbered = df.select("*", *keys).withColumn("_rn", F.row_number().over(inner).cast("long") - 1)
+    numbered = df.withColumn("_rn", F.row_number().over(inner).cast("long") - 1)
     return numbered.join(before, [*names, "_sub"]).withColumn(out, F.col("_rn") + F.col("_before")).drop(*names, "_sub", "_rn", "_before")
 
 
+def first_of_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of each doc_id in `ids` (column id, distinct), the first by a hash of its text, and all rows
+    without doc_id; all columns as they are. Rows travel as one struct, so their columns can't clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.join(ids, F.col("row.doc_id") == F.col("id"), "left_semi")
+    one = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"), "row.text")
+    kept = named.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row")
+    return kept.union(rows.where("row.doc_id is null")).select("row.*")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Row slices of the batch that hold about `most` bytes of text each (a longer text comes alone)."""
     if not batch.num_rows:

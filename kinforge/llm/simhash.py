@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, materialize, pick, slices
+from .common import Words, discard, first_of_each, materialize, pick, slices
 from .components import components
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -140,7 +140,5 @@ def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
     rows that share that doc_id one stays. Rows without doc_id all stay: no group can be named by them.
     Texts are shuffled once, by doc_id."""
     named = near_copies(docs, width)
-    first = named.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = named.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    return first_of_each(docs, first)
