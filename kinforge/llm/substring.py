@@ -1,42 +1,50 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The reference of a document is everything that starts earlier. It is indexed in blocks: a block holds
-all places of the corpus where one anchor (the least hash of the 8-word grams of a 20-word window)
-stands, and with them the hashes of the windows it anchors. Two equal windows have the same anchor, so
-a document only meets the blocks of its own anchors and misses no match. In a block each window is
-looked up among the earlier ones, and a factor is extended word by word while its next window has its
-earliest occurrence where the source goes on. A factor of 20 words or more is a duplicate span. Windows
-that straddle two factors, or two blocks, are looked up themselves like any other window, so nothing is
-lost at factor boundaries: the spans cover exactly the windows that also start earlier.
-
-A slice of documents sends each distinct window once, so a passage that a third of all documents share
-costs its block a row per slice and not per document. Windows are compared by 64 bits within a slice
-and by 112 bits (anchor and window) between slices.
+all stretches of the corpus whose 20-word windows have one of the block's anchors (a window's anchor is
+the least hash of its 8-word grams), word for word. Two equal windows have the same anchor, so a
+document only meets the blocks of its own anchors and misses no match.
+
+A stretch is parsed greedily: its first window that an earlier place of the block holds too (looked up
+by hash, then held against the words) begins a factor, which is extended word by word as long as the
+source goes on with the same words; the next factor is looked for behind it. So the windows that
+straddle two factors are looked up themselves, and as windows that straddle two stretches belong to the
+one or the other, nothing is lost at boundaries: the factors cover exactly the windows that also start
+earlier. A factor of 20 words or more is a duplicate span. Equality is always that of words.
+
+A slice of documents is a first block of its own, and sends each distinct window on once, so a passage
+that a third of all documents share costs its block a row per slice and not per document. Blocks are
+read one after another in the order of their keys: memory holds one, however many a task has.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, slices, trim
+from .common import SLICE_BYTES, Words, bounded_batches, slices, trim
 
 WINDOW, GRAM = 20, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 DOC = np.dtype([("doc", "<i8"), ("tie", "<i8")])
-RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "<u2")])
+RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4")])
 FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("src_doc", "<i8"), ("src_start", "<u4")])
-#: Input bytes for one partition of blocks, and keys that are dealt to a partition on average: with one
-#: key a partition, some would get four and others none.
-PART_BYTES, PART_KEYS = 3 << 20, 16
+#: Input bytes for one block, and blocks that a task reads on average (their number grows with the input;
+#: that of tasks only up to MOST_TASKS, then each reads more blocks).
+BLOCK_BYTES, TASK_BLOCKS, MOST_TASKS = 768 << 10, 4, 100_000
+#: Words compared at once when factors are extended, and pairs of words in all.
+STEP, PAIRS = 16, 1 << 20
+SPACE, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 #: Rows without doc_id come after all others, so that they shadow none that has one.
 NO_ID = 2**63 - 1
 
@@ -65,14 +73,12 @@ def window_starts(offsets: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def anchored(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: its place, its anchor and its hash."""
-    distinct, of = words.coded()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w) for w in distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))[of]
-    at = window_starts(words.offsets, WINDOW)
+def anchored(distinct: pa.Array, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor and the hash of the windows that begin at the given places."""
     if not len(at):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w) for w in distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))[code]
     low, whole = grams(h, [GRAM, WINDOW])
     k = WINDOW - GRAM + 1  # grams in a window
     width = 1
@@ -80,7 +86,7 @@ def anchored(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
     low = np.minimum(low[: len(low) - (k - width)], low[k - width :])
-    return at, low[at], whole[at]
+    return low[at], whole[at]
 
 
 def runs_of(*columns: tuple[np.ndarray, int]) -> np.ndarray:
@@ -91,95 +97,148 @@ def runs_of(*columns: tuple[np.ndarray, int]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def emit(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, blob) of a task's slices: runs of windows for their blocks, and the windows that are
-    already known to repeat in their slice, as factors to be passed on."""
+def first_places(code: np.ndarray, at: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """For each window the first one with the same words. Candidates have the same hash; their words decide."""
+    by = np.argsort(hashed, kind="stable")
+    heads = runs_of((hashed[by], 0))
+    first = np.empty(len(by), np.int64)
+    first[by] = np.repeat(by[heads], np.diff(np.append(heads, len(by))))
+    later = np.flatnonzero(first != np.arange(len(first)))
+    same = np.ones(len(later), bool)
+    for k in range(WINDOW):
+        same &= code[at[later] + k] == code[at[first[later]] + k]
+    for w in np.unique(first[later[~same]]).tolist():  # different windows with one hash
+        own = np.flatnonzero(first == w)
+        _, least, of = np.unique(code[at[own][:, None] + np.arange(WINDOW)], axis=0, return_index=True, return_inverse=True)
+        first[own] = own[least][of.ravel()]
+    return first
+
+
+def factorize(code: np.ndarray, at: np.ndarray, seg: np.ndarray, first: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of all segments side by side: first window, first window of the source, number of
+    windows. Windows of a segment begin at consecutive words; hit marks those that occur earlier."""
+    seeds = np.flatnonzero(hit)
+    ends = np.append(np.flatnonzero(seg[1:] != seg[:-1]), len(seg) - 1)
+    last = np.repeat(ends, np.diff(np.append(-1, ends)))  # of each window: the last one of its segment
+    cur = seeds[runs_of((seg[seeds], 0))] if len(seeds) else seeds
+    src, n = first[cur], np.ones(len(cur), np.int64)
+    done, step = [], STEP
+    while len(cur):
+        room = np.minimum(last[cur] - cur, last[src] - src) - n + 1
+        k = np.arange(step)
+        inside = k < room[:, None]
+        a, b = (np.where(inside, (at[x] + WINDOW + n - 1)[:, None] + k, 0) for x in (cur, src))
+        same = inside & (code[a] == code[b])
+        whole = same.all(axis=1)
+        n = n + np.where(whole, step, same.argmin(axis=1))
+        done.append((cur[~whole], src[~whole], n[~whole]))
+        # The next factor of a segment begins at the next seed that the last one doesn't cover.
+        place = np.searchsorted(seeds, cur[~whole] + n[~whole])
+        new = seeds[np.minimum(place, len(seeds) - 1)]
+        new = new[(place < len(seeds)) & (seg[new] == seg[cur[~whole]])]
+        cur, src, n = np.append(cur[whole], new), np.append(src[whole], first[new]), np.append(n[whole], np.ones(len(new), np.int64))
+        step = max(STEP, min(2 * step if whole.any() else STEP, PAIRS // max(len(cur), 1)))
+    out = [np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3)]
+    order = np.argsort(out[0], kind="stable")
+    return out[0][order], out[1][order], out[2][order]
+
+
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, int, int | None]]:
+    """Slices of documents in their order: ids, ties, texts. A text longer than a slice is cut into
+    stretches that share WINDOW - 1 words: then also the words before it, and those that begin windows."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
+    for part in slices(batch.filter(pa.array(size <= SLICE_BYTES))):
+        ids, ties = (np.asarray(part.column(c)) for c in ("doc_id", "tie"))
+        order = np.lexsort((ties, ids))
+        yield ids[order], ties[order], part.column("text").take(pa.array(order)), 0, None
+    for row in np.flatnonzero(size > SLICE_BYTES).tolist():
+        ids, ties = (np.asarray(batch.column(c).slice(row, 1)) for c in ("doc_id", "tie"))
+        data, lo, before = batch.column("text")[row].as_buffer(), 0, 0
+        while lo < data.size:
+            cut = SPACE.search(data, lo + SLICE_BYTES)
+            hi = end = cut.start() if cut else data.size
+            shared = 0
+            for _, w in zip(range(WINDOW - 1), WORD.finditer(data, hi), strict=False):
+                end, shared = w.end(), shared + 1
+            texts = pa.array([data.slice(lo, end - lo).to_pybytes().decode()], pa.string())
+            own = len(Words(texts)) - shared
+            yield ids, ties, texts, before, own
+            lo, before = hi, before + own
+            trim()
+
+
+def emit(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, blob) of a task's slices: stretches for their blocks, and the factors that a slice
+    has already found in itself, to be passed on."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        for part in slices(batch):
-            ids, ties = (np.asarray(part.column(c)) for c in ("doc_id", "tie"))
-            order = np.lexsort((ties, ids))
-            words = Words(part.column("text").take(pa.array(order)))
-            table = np.zeros(len(order), DOC)
-            table["doc"], table["tie"] = ids[order], ties[order]
-            at, anchor, whole = anchored(words)
+        for ids, ties, texts, before, most in stretches(batch):
+            words = Words(texts)
+            distinct, code = words.coded()
+            table = np.zeros(len(ids), DOC)
+            table["doc"], table["tie"] = ids, ties
+            at = window_starts(words.offsets, WINDOW)
+            at = at if most is None else at[at < most]
             if not len(at):
                 continue
+            anchor, hashed = anchored(distinct, code, at)
             doc = words.of_text()[at]
-            start = at - words.offsets[doc]
-            by = np.argsort(whole, kind="stable")
-            heads = runs_of((whole[by], 0))
-            first = np.empty(len(by), np.int64)
-            first[by] = np.repeat(by[heads], np.diff(np.append(heads, len(by))))
-            known = first != np.arange(len(by))
+            start = at - words.offsets[doc] + before
+            first = first_places(code, at, hashed)
+            known = first != np.arange(len(at))
             # A repeated row (same doc_id, same text) has the windows of the same document again.
             again = known & (start == start[first]) & (table[doc] == table[doc[first]])
-            out = factor_rows(table, doc, start, first, known & ~again, parts)
+            out = []
+            w, s, n = factorize(code, at, doc, first, known & ~again)
+            if len(w):
+                fac = np.zeros(len(w), FACTOR)
+                fac["start"], fac["n"], fac["src_doc"], fac["src_start"] = start[w], n, table["doc"][doc[s]], start[s]
+                out += factor_blobs(table, doc[w], fac, blocks)
             send = np.flatnonzero(~known)
             if len(send):
-                doc, start, anchor, whole = doc[send].astype(np.uint32), start[send].astype(np.uint32), anchor[send], whole[send]
-                heads = runs_of((anchor, 0), (doc, 0), (start, 1))
+                heads = runs_of((anchor[send], 0), (doc[send], 0), (start[send], 1))
+                n = np.diff(np.append(heads, len(send)))
+                heads = send[heads]
                 run = np.zeros(len(heads), RUN)
-                run["anchor"], run["doc"], run["start"] = anchor[heads], doc[heads], start[heads]
-                run["n"] = np.diff(np.append(heads, len(send)))
-                to = (run["anchor"] % np.uint64(parts)).astype(np.int64)
+                run["doc"], run["start"], run["n"] = doc[heads], start[heads], n
+                to = (anchor[heads] % np.uint64(blocks)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
-                windows = np.repeat(by, run["n"][by].astype(np.int64))
-                n = run["n"][by].astype(np.int64)
-                ends = np.cumsum(n)
-                take = heads[windows] + np.arange(len(windows)) - np.repeat(ends - n, n)
-                whole = whole[take]
-                run = run[by]
-                cuts = [*runs_of((to[by], 0)).tolist(), len(by)]
-                ends = np.append(0, ends)
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    out.append((int(to[by[lo]]), pack_runs(table, run[lo:hi], whole[ends[lo] : ends[hi]])))
+                size = np.asarray(pc.binary_length(words.flat), dtype=np.int64) + 1
+                ends = np.cumsum(size) - 1  # where words end when one space stands between them
+                data = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.flat.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))[0].as_buffer().to_pybytes()
+                lo, hi = (ends - size + 1)[at[heads]][by].tolist(), ends[at[heads] + n + WINDOW - 2][by].tolist()
+                run, to = run[by], to[by]
+                cuts = [*runs_of((to, 0)).tolist(), len(by)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    out.append((int(to[i]), pack_runs(table, run[i:j], squeeze(b"\n".join([data[x:y] for x, y in zip(lo[i:j], hi[i:j], strict=True)])))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["block", "blob"])
 
 
-def pack_runs(table: np.ndarray, run: np.ndarray, whole: np.ndarray) -> bytes:
+def pack_runs(table: np.ndarray, run: np.ndarray, text: bytes) -> bytes:
     docs, local = np.unique(run["doc"], return_inverse=True)
     run = run.copy()
     run["doc"] = local
-    head = np.array([0, len(docs), len(run), len(whole)], "<u4")
-    return b"".join((head.tobytes(), table[docs].tobytes(), run.tobytes(), whole.astype("<u4").tobytes(), (whole >> np.uint64(32)).astype("<u2").tobytes()))
-
-
-def unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, d, r, w = np.frombuffer(blob, "<u4", 4)
-    at = 16
-    docs = np.frombuffer(blob, DOC, d, at)
-    run = np.frombuffer(blob, RUN, r, at := at + docs.nbytes)
-    low = np.frombuffer(blob, "<u4", w, at := at + run.nbytes)
-    high = np.frombuffer(blob, "<u2", w, at + low.nbytes)
-    return docs, run, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+    return b"".join((np.array([0, len(docs), len(run)], "<u4").tobytes(), table[docs].tobytes(), run.tobytes(), text))
 
 
-def factors(doc: np.ndarray, start: np.ndarray, src: np.ndarray, src_start: np.ndarray, src_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors of flagged windows in document order: the document of each, and FACTOR rows."""
-    heads = runs_of((doc, 0), (start.astype(np.int64), 1), (src, 0), (src_start.astype(np.int64), 1))
-    out = np.zeros(len(heads), FACTOR)
-    out["start"], out["n"] = start[heads], np.diff(np.append(heads, len(doc)))
-    out["src_doc"], out["src_start"] = src_id[heads], src_start[heads]
-    return doc[heads], out
+def unpack_runs(blob: bytes, open_) -> tuple[np.ndarray, np.ndarray, bytes]:
+    _, d, r = np.frombuffer(blob, "<u4", 3).tolist()
+    docs = np.frombuffer(blob, DOC, d, 12)
+    run = np.frombuffer(blob, RUN, r, 12 + docs.nbytes)
+    return docs, run, open_(blob[12 + docs.nbytes + run.nbytes :])
 
 
-def factor_rows(table: np.ndarray, doc: np.ndarray, start: np.ndarray, first: np.ndarray, flagged: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Known factors of a slice, one blob per part (dealt by document)."""
-    at = np.flatnonzero(flagged)
-    if not len(at):
-        return []
-    src = doc[first[at]]
-    own, fac = factors(doc[at], start[at], src, start[first[at]], table["doc"][src])
-    to = mix(table["doc"][own].astype(np.uint64)) % np.uint64(parts)
+def factor_blobs(table: np.ndarray, own: np.ndarray, fac: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
+    """Known factors of a slice, one blob per block (dealt by document)."""
+    to = mix(table["doc"][own].astype(np.uint64)) % np.uint64(blocks)
     out = []
     by = np.argsort(to, kind="stable")
     cuts = [*runs_of((to[by], 0)).tolist(), len(by)]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         k = by[lo:hi]
         docs, local = np.unique(own[k], return_inverse=True)
-        head = np.array([1, len(docs), len(k), 0], "<u4")
-        out.append((int(to[k[0]]), b"".join((head.tobytes(), table[docs].tobytes(), local.astype("<u4").tobytes(), fac[k].tobytes()))))
+        out.append((int(to[k[0]]), b"".join((np.array([1, len(docs), len(k)], "<u4").tobytes(), table[docs].tobytes(), local.astype("<u4").tobytes(), fac[k].tobytes()))))
     return out
 
 
@@ -200,57 +259,52 @@ def rows_of(docs: np.ndarray, own: np.ndarray, fac: np.ndarray) -> pa.RecordBatc
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors documents against the blocks of one partition."""
-    got = []
+    """Parses the stretches of a task's blocks, which come one after another."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    now, got = None, []
     for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            if blob[:4] == b"\1\0\0\0":
-                _, d, n, _ = np.frombuffer(blob, "<u4", 4)
-                docs = np.frombuffer(blob, DOC, d, 16)
-                own = np.frombuffer(blob, "<u4", n, 16 + docs.nbytes)
-                fac = np.frombuffer(blob, FACTOR, n, 16 + docs.nbytes + own.nbytes)
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if block != now:
+                yield from parse_block(got)
+                now, got = block, []
+            if blob[0]:
+                _, d, n = np.frombuffer(blob, "<u4", 3).tolist()
+                docs = np.frombuffer(blob, DOC, d, 12)
+                own = np.frombuffer(blob, "<u4", n, 12 + docs.nbytes)
+                fac = np.frombuffer(blob, FACTOR, n, 12 + docs.nbytes + own.nbytes)
                 by = np.argsort(own, kind="stable")
                 yield rows_of(docs, own[by], fac[by])
             else:
-                got.append(unpack_runs(blob))
+                got.append(unpack_runs(blob, open_))
+    yield from parse_block(got)
+    trim()
+
+
+def parse_block(got: list[tuple[np.ndarray, np.ndarray, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Factors of one block's stretches against those of them that start earlier."""
     if not got:
         return
-    shift = np.cumsum([0, *[len(g[0]) for g in got]])
-    docs = np.concatenate([g[0] for g in got])
     run = np.concatenate([g[1] for g in got])
-    whole = np.concatenate([g[2] for g in got])
-    of = run["doc"].astype(np.int64) + np.repeat(shift[:-1], [len(g[1]) for g in got])
-    del got
+    shift = np.cumsum([0, *[len(g[0]) for g in got]])
     # One number for each document, in the order of documents.
-    kinds, number = np.unique(docs, return_inverse=True)
-    of = number[of]
-    by = np.lexsort((run["start"], of))
+    kinds, number = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    of = number[run["doc"].astype(np.int64) + np.repeat(shift[:-1], [len(g[1]) for g in got])]
+    _, code = Words(pa.array([b"\n".join([g[2] for g in got]).decode()], pa.string())).coded()
     n = run["n"].astype(np.int64)
-    at = np.cumsum(n) - n
-    n = n[by]
+    place = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
+    by = np.lexsort((run["start"], of))
+    n, place, of, begin = n[by], place[by], of[by], run["start"].astype(np.int64)[by]
     ends = np.cumsum(n)
     inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    whole = whole[np.repeat(at[by], n) + inside]
-    anchor = np.repeat(run["anchor"][by], n)
-    doc = np.repeat(of[by].astype(np.uint32), n)
-    start = (np.repeat(run["start"][by], n) + inside).astype(np.uint32)
-    del inside
-    key = anchor + whole * BASE
-    order = np.argsort(key, kind="stable")
-    heads = runs_of((key[order], 0))
-    first = np.empty(len(order), np.int64)
-    first[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-    if ((anchor != anchor[first]) | (whole != whole[first])).any():  # two blocks with one key: compare in full
-        order = np.lexsort((np.arange(len(key)), whole, anchor))
-        heads = runs_of((anchor[order], 0), (whole[order], 0))
-        first[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-    at = np.flatnonzero((doc != doc[first]) | (start != start[first]))
-    if len(at):
-        src = doc[first[at]]
-        own, fac = factors(doc[at], start[at], src, start[first[at]], kinds["doc"][src])
-        yield rows_of(kinds, own, fac)
-    del run, of, whole, anchor, doc, start, key, order, heads, first
-    trim()
+    at, seg = np.repeat(place, n) + inside, np.repeat(np.arange(len(n)), n)
+    doc, start = np.repeat(of, n), np.repeat(begin, n) + inside
+    (hashed,) = grams(mix(code.astype(np.uint64) + np.uint64(1)), [WINDOW])
+    first = first_places(code, at, hashed[at])
+    w, s, n = factorize(code, at, seg, first, (doc != doc[first]) | (start != start[first]))
+    if len(w):
+        fac = np.zeros(len(w), FACTOR)
+        fac["start"], fac["n"], fac["src_doc"], fac["src_start"] = start[w], n, kinds["doc"][doc[s]], start[s]
+        yield rows_of(kinds, doc[w], fac)
 
 
 def covered(words: Words, found: list[bytes | None]) -> np.ndarray:
@@ -289,9 +343,11 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 50:  # no estimate for rows that come from no file
         size = docs.agg(F.sum(F.octet_length(f"`{text}`")).alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 100_000))
-    sent = rows.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "text").mapInArrow(lambda it: emit(it, parts * PART_KEYS), "part int, blob binary")
-    found = sent.repartition(parts, "part").mapInArrow(parse, FOUND)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(least, size // BLOCK_BYTES)
+    sent = rows.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), "text").mapInArrow(lambda it: emit(it, blocks), "block long, blob binary")
+    tasks = max(least, min(blocks // TASK_BLOCKS, MOST_TASKS))
+    found = sent.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(parse, FOUND)
     per_doc = found.groupBy("doc_id", "tie").agg(F.collect_list("factors").alias("_list"))
     per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "_list")
     return rows.join(per_doc, ["_doc", "_tie"], "left").select("doc_id", "text", F.col("_list").alias("factors"), *(["carried"] if carry else []))
