@@ -6,10 +6,15 @@ driver (at most `capacity` numbers, however many documents there are). There:
 1. lengths are grouped into classes of equal width, and all patterns of up to `depth` classes that fill
    a sequence are enumerated; non-negative least squares finds how often to repeat each pattern so that
    the classes of the histogram are used up;
-2. the counts are rounded down and exact lengths are drawn for each pattern, the longest that still
-   fits the room that is left;
-3. what remains, small pieces first of all into the room that patterns left open, is packed by best
-   fit, longest first, on counts of equal lengths and equal room.
+2. counts are rounded, down and then up again where pieces are left, and exact lengths are drawn for
+   each pattern so that it fills its sequence but for a few tokens; then the least squares are fitted
+   anew to what is left, until no pattern can be filled any more;
+3. the residual pieces are packed by best fit, longest first and first of all into the room that
+   patterns left open, on counts of equal lengths and equal room.
+
+A pattern that leaves room open may cost a sequence in the end. So plans are made with several bounds
+of that room, down to patterns that fill their sequence to the last token; the one with the fewest
+sequences counts, of equals the one that has most pieces in patterns.
 
 The plan says for each length which ranks of its pieces go to which sequences and where; pieces are
 ranked in parallel and look their place up in the plan.
@@ -21,6 +26,7 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +37,11 @@ from pyspark.sql import types as T
 from .common import gapless, materialize, pick, slices
 from .tokens import encoder
 
-CAPACITY, CLASSES, DEPTH = 4096, 128, 3
+CAPACITY, CLASSES, DEPTH = 4096, 32, 8
 PART_ROWS = 100_000
-#: A pattern's last piece must leave less than this part of a class open.
-SLACK = 8
+#: Tokens that a pattern may leave open (a plan for each), fits to residuals, and lengths that are tried for
+#: a pattern's last place but one.
+SLACKS, REFITS, TRIES = (32, 8, 0), 8, 64
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000, tolerance: float = 1e-9) -> np.ndarray:
@@ -72,6 +79,21 @@ def patterns(classes: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
+#: Rounds of a least-squares fit.
+FIT_ROUNDS = 600
+
+
+@lru_cache(4)
+def enumerated(classes: int, depth: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """All patterns, and the matrix of how many pieces of a class (row) a pattern (column) takes."""
+    found = patterns(classes, depth)
+    a = np.zeros((classes, len(found)))
+    for j, p in enumerate(found):
+        for c in p:
+            a[c - 1, j] += 1
+    return found, a
+
+
 class Plan:
     """Which ranks of which lengths go where. steps: (length, first rank, count, first sequence, offset)."""
 
@@ -84,6 +106,7 @@ class Plan:
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (first sequence, count)
         self.rooms: list[int] = []
         self.lengths: list[int] = []  # those left, ascending, while patterns are filled
+        self.patterned = 0  # pieces in patterns
 
     def take(self, length: int, count: int, sequence: int, offset: int) -> None:
         self.steps.append((length, self.total[length] - self.left[length], count, sequence, offset))
@@ -99,54 +122,83 @@ class Plan:
                 bisect.insort(self.rooms, room)
             self.open[room].append((sequence, count))
 
-    def by_patterns(self, classes: int, depth: int) -> None:
-        """Whole pieces first; then patterns as often as least squares says."""
+    def by_patterns(self, classes: int, depth: int, slack: int) -> None:
+        """Whole pieces first; then patterns as often as least squares says, again and again."""
         if n := self.left.get(self.capacity):
             self.take(self.capacity, n, self.sequences, 0)
             self.sequences += n
         width = self.capacity / classes
-        of = lambda length: min(classes, max(1, int(length / width + 0.5)))
-        need = np.zeros(classes + 1)
-        for length, n in self.left.items():
-            need[of(length)] += n
-        if not need.any():
-            return
-        found = patterns(classes, depth)
-        a = np.zeros((classes, len(found)))
-        for j, p in enumerate(found):
-            for c in p:
-                a[c - 1, j] += 1
-        scale = need.sum()
-        times = np.floor(nnls(a, need[1:] / scale) * scale + 1e-6).astype(np.int64)
+        found, a = enumerated(classes, depth)
         self.lengths = sorted(self.left)
-        for j in np.argsort(-times, kind="stable"):
-            want = int(times[j])
-            while want > 0 and (done := self.repeat(found[j], width, want)):
-                want -= done
-
-    def repeat(self, pattern: tuple[int, ...], width: float, want: int) -> int:
-        """One choice of lengths for the pattern, as often as they all last: the longest length of each
-        class, then for the last place the longest that fits, which must nearly fill the sequence."""
-        room, own = self.capacity, []
+        for _ in range(REFITS):
+            need = np.zeros(classes)
+            for length, n in self.left.items():
+                need[min(classes, max(1, int(length / width + 0.5))) - 1] += n
+            if not need.any():
+                return
+            scale = need.sum()
+            share = nnls(a, need / scale, FIT_ROUNDS) * scale
+            times = np.floor(share + 1e-6)
+            free = need - a @ times
+            for j in np.argsort(times - share, kind="stable"):
+                if share[j] - times[j] < 1e-3:
+                    break
+                if (a[:, j] <= free).all():
+                    times[j] += 1
+                    free -= a[:, j]
+            filled = 0
+            for j in np.argsort(-times, kind="stable"):
+                want = int(times[j])
+                while want > 0 and (done := self.repeat(found[j], width, want, slack)):
+                    want -= done
+                    filled += done
+            if not filled:
+                return
+
+    def free(self, at: int, used: dict[int, int], step: int = -1) -> int:
+        """The place of the next length from `at` on that isn't used up yet."""
+        while 0 <= at < len(self.lengths) and self.left[self.lengths[at]] <= used.get(self.lengths[at], 0):
+            at += step
+        return at
+
+    def repeat(self, pattern: tuple[int, ...], width: float, want: int, slack: int) -> int:
+        """One choice of lengths for the pattern, as often as they all last. Each place takes the length
+        that comes nearest to its class once the errors before it are made up for; the last one takes the
+        longest that fits, and may leave `slack` tokens open."""
+        own, total, meant = [], 0, 0.0
         used: dict[int, int] = defaultdict(int)
-        for c in pattern:
-            final = len(own) == len(pattern) - 1
-            high, low = (room, room - width / SLACK) if final else (min(room, int((c + 0.5) * width)), (c - 0.5) * width)
-            at = bisect.bisect_right(self.lengths, high)
-            while at and self.lengths[at - 1] > low and self.left[self.lengths[at - 1]] <= used.get(self.lengths[at - 1], 0):
-                at -= 1
-            if not at or self.lengths[at - 1] <= low:
+
+        def last(room: int) -> int:
+            at = self.free(bisect.bisect_right(self.lengths, room) - 1, used)
+            return self.lengths[at] if at >= 0 and room - self.lengths[at] <= slack else 0
+
+        for place, c in enumerate(pattern[:-1]):
+            meant += c * width
+            at = self.free(bisect.bisect_right(self.lengths, min(meant, self.capacity) - total) - 1, used)
+            final = place == len(pattern) - 2
+            for _ in range(TRIES if final else 1):
+                if at < 0 or self.lengths[at] < (c - 0.75) * width:
+                    return 0
+                length = self.lengths[at]
+                used[length] += 1
+                if not final or (end := last(self.capacity - total - length)):
+                    own.append(length)
+                    total += length
+                    break
+                used[length] -= 1
+                at = self.free(at - 1, used)
+            else:
                 return 0
-            used[self.lengths[at - 1]] += 1
-            own.append(self.lengths[at - 1])
-            room -= own[-1]
-        n = min(want, *(self.left[k] // v for k, v in used.items()))
+        own.append(end)
+        used[end] += 1
+        n = min(want, *(self.left[k] // v for k, v in used.items() if v))
         offset = 0
         for length in own:
             self.take(length, n, self.sequences, offset)
             offset += length
-        self.put(room, self.sequences, n)
+        self.put(self.capacity - offset, self.sequences, n)
         self.sequences += n
+        self.patterned += n * len(own)
         return n
 
     def best_fit(self) -> None:
@@ -175,16 +227,14 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> Plan:
-    """The better of two plans for a histogram: patterns and best fit for the rest, or, where rounding
-    to classes cost more than patterns gained (few documents), best fit alone."""
+    """Patterns, and best fit for the residual pieces."""
     out = []
-    for with_patterns in (True, False):
+    for slack in SLACKS:
         p = Plan(histogram, capacity)
-        if with_patterns:
-            p.by_patterns(min(classes, capacity), depth)
+        p.by_patterns(min(classes, capacity), depth, slack)
         p.best_fit()
         out.append(p)
-    return min(out, key=lambda p: p.sequences)
+    return min(out, key=lambda p: (p.sequences, -p.patterned))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
