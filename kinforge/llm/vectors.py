@@ -3,6 +3,7 @@
 Pivots are vectors of a bounded sample, no two of them close to each other. A vector is described by
 the ordered list of its nearest pivots and filed in the inverted list of each. Two vectors of one list
 that share at least `shared` pivots are candidates; each is verified by its cosine in double precision.
+With n vectors there are about 4 root(n) pivots, so that work grows with n root(n), up to MOST pivots.
 A pair is looked at in the list of the first pivot it shares only. Lists are compared in blocks of
 `block` vectors, so no list is ever gathered in one task; a block pair returns counts of links and a
 spanning forest of them, not the links.
@@ -10,48 +11,70 @@ spanning forest of them, not the links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
 from .components import components
 
-#: Vectors sampled for pivots, pivots at most, greatest cosine between two pivots.
-SAMPLE, PIVOTS, APART = 20_000, 512, 0.7
+#: Pivots grow with the square root of the vectors, so that inverted lists do too and no list holds a
+#: fixed share of them: ROOT x root, between LEAST and MOST. They come from SAMPLE vectors a pivot (a
+#: bounded number), no two with a cosine above APART where there are others.
+ROOT, LEAST, MOST, SAMPLE, APART = 4, 64, 16_384, 8, 0.7
 #: Pivots that describe a vector, pivots a candidate pair must share, vectors of a block.
-DEPTH, SHARED, BLOCK = 8, 2, 1024
-
-
-def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one: not null, not zero, all finite and,
-    with width, of that many components."""
-    values = column.to_pylist()
-    rows = [np.array([np.nan if x is None else x for x in v], np.float64) if v else np.zeros(0) for v in values]
-    width = width or next((len(r) for r in rows if len(r)), 0)
-    good = np.array([len(r) == width and width > 0 and bool(np.isfinite(r).all()) and bool(r.any()) for r in rows], bool)
-    out = np.stack([r for r, g in zip(rows, good, strict=True) if g]) if good.any() else np.zeros((0, width))
-    out = out / np.abs(out).max(axis=1, keepdims=True) if len(out) else out  # very large and small ones keep their length
-    return out / np.linalg.norm(out, axis=1, keepdims=True) if len(out) else out, good
-
-
-def pivots_of(vectors: DataFrame, sample: int = SAMPLE, most: int = PIVOTS, apart: float = APART) -> np.ndarray:
-    """Pivots from the `sample` vectors that come first by a hash of their ids (a bounded number)."""
-    rows = vectors.select("embedding").orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(sample).toArrow()
-    x, _ = matrix(rows.column("embedding").combine_chunks())
-    if not len(x):
-        return x
-    chosen, near = [], np.zeros(len(x))
-    for i in range(len(x)):
-        if near[i] < apart:
-            chosen.append(i)
-            near = np.maximum(near, x @ x[i])
-            if len(chosen) == most:
-                break
-    return x[chosen]
+DEPTH, SHARED, BLOCK = 10, 2, 1024
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; very large and very small components do no harm."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, rows, their components as they are) of a column of lists without nulls."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    n = np.asarray(pc.list_value_length(column), dtype=np.int64)
+    first = np.cumsum(n) - n
+    for width in np.unique(n).tolist():
+        rows = np.flatnonzero(n == width)
+        yield width, rows, flat[first[rows][:, None] + np.arange(width)]
+
+
+def numbers_of_pivots(vectors: dict[int, int]) -> dict[int, int]:
+    """How many pivots each width gets, by its number of vectors; MOST in all, but one at least."""
+    want = {w: max(LEAST, ROOT * math.isqrt(n)) for w, n in vectors.items()}
+    total = sum(want.values())
+    return {w: min(vectors[w], max(1, k * MOST // max(total, MOST))) for w, k in want.items()}
+
+
+def pivots_of(found: DataFrame, vectors: dict[int, int], apart: float = APART) -> dict[int, np.ndarray]:
+    """Pivots of each width from a sample by a hash of the ids."""
+    want = numbers_of_pivots(vectors)
+    share = [(w, min(1.0, SAMPLE * k / vectors[w])) for w, k in want.items()]
+    kept = F.create_map(*[F.lit(x) for pair in share for x in pair])[F.size("embedding")]
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 20)) < kept * (1 << 20)
+    rows = found.where(drawn).select(F.xxhash64("vec_id", F.lit(23)).alias("h"), "vec_id", "embedding").toArrow().combine_chunks()
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("h", "ascending"), ("vec_id", "ascending")]))
+    out = {}
+    for width, _, raw in by_width(pa.concat_arrays(rows.column("embedding").chunks)) if rows.num_rows else ():
+        x, chosen = unit(raw), []
+        near = np.full(len(x), -1.0)
+        for limit in (apart, 2.0):  # where too few stand apart, the others make up the number
+            for i in range(len(x)):
+                if len(chosen) < want[width] and near[i] < limit:
+                    chosen.append(i)
+                    near = np.maximum(near, x @ x[i])
+                    near[i] = 3.0
+        out[width] = x[sorted(chosen)]
+    return out
 
 
 def described(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
@@ -92,9 +115,9 @@ class Forest:
 def block_links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, perm: np.ndarray, cut: int, pivot: int, threshold: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links between rows before and from `cut` (among all rows, if cut is 0) whose first shared pivot is
     this list's: for each row the rows linked, copies included, and links (a, b) of a spanning forest."""
-    top = int(perm.max()) + 1
-    marks = np.zeros((len(ids), top), np.float32)
-    np.put_along_axis(marks, perm, 1, axis=1)
+    known, local = np.unique(perm, return_inverse=True)
+    marks = np.zeros((len(ids), len(known)), np.float32)
+    np.put_along_axis(marks, local.reshape(perm.shape), 1, axis=1)
     left, right = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
     i, j = np.nonzero(marks[left] @ marks[right].T >= shared)
     if cut:
@@ -116,31 +139,29 @@ def block_links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, perm: np.nda
     return n, ids[i[kept]], ids[j[kept]]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, depth: int = DEPTH, shared: int = SHARED, block: int = BLOCK, sample: int = SAMPLE, most: int = PIVOTS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, depth: int = DEPTH, shared: int = SHARED, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, zero, of another width than most, or hold null or non-finite components
-    link with nothing. Vectors with equal components link (n_links counts each), but only one of them
-    is indexed. Vectors that share a vec_id are told apart by their components; n_links and component_id
-    are then those of all rows of that id. An empty table gives no rows; other columns are ignored.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors
+    of any width are compared, with those of their own width. Vectors with equal components link (n_links
+    counts each), but only one of them is indexed. Vectors that share a vec_id are told apart by their
+    components; n_links and component_id are then those of all rows of that id. A null vec_id can't be
+    named: such rows take no part and are kept. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = pick(vectors, vec_id, embedding).toDF("vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = pick(vectors, vec_id, embedding).toDF("vec_id", "embedding")
+    if rows.schema["embedding"].dataType.elementType.simpleString() != "float":
+        rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     sound = (F.col("embedding").isNotNull()) & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     valid = rows.where(sound & F.col("vec_id").isNotNull())
-    widths = valid.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths["w"] if widths else 0
-    valid = valid.where(F.size("embedding") == width)
     # Equal vectors are one: the class of its components, named by its smallest id.
     classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "vectors")
     members = materialize(valid.join(classes, "embedding").select("vec_id", "least", "copies"), "members")
     found = classes.select(F.col("least").alias("vec_id"), "embedding")
-    pivots = pivots_of(found, sample, most)
-    deep = min(depth, len(pivots))
-    need = min(shared, deep)
-    n = classes.count()
-    if n > 1:
-        links, counts = _indexed(classes, pivots, deep, need, block, threshold, n)
+    sizes = found.groupBy(F.size("embedding").alias("w")).count().where(F.col("count") > 1).collect()  # one row per width
+    pivots = pivots_of(found, {r["w"]: r["count"] for r in sizes}) if sizes else {}
+    if pivots:
+        links, counts = _indexed(classes, pivots, depth, shared, block, threshold)
         named = components(links)
     else:
         counts, named = spark.createDataFrame([], "least long, linked long"), spark.createDataFrame([], "node long, component long")
@@ -152,39 +173,45 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, depth: int = DEPTH
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _indexed(classes: DataFrame, pivots: np.ndarray, depth: int, shared: int, block: int, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of a spanning forest, and (least, linked): numbers of linked vectors, copies included."""
-    width = pivots.shape[1]
+def _indexed(classes: DataFrame, pivots: dict[int, np.ndarray], depth: int, shared: int, block: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of a spanning forest, and (least, linked): numbers of linked vectors, copies included.
+    Widths have pivots, and so lists, of their own; fewer pivots than `depth` describe with all of them."""
+    base, at = {}, 0
+    for width, p in pivots.items():
+        base[width], at = at, at + len(p)
+    kind = np.dtype("<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, _ = matrix(b.column("embedding"), width)
-            if len(x):
-                perm = described(x, pivots, depth)
-                yield pa.RecordBatch.from_arrays([b.column("least"), b.column("copies"), pa.array(list(x.astype("<f8").tobytes()[i : i + 8 * width] for i in range(0, 8 * width * len(x), 8 * width)), pa.binary()), pa.array(perm.tolist(), pa.list_(pa.int32()))], ["id", "copies", "x", "perm"])
+            for width, rows, raw in by_width(b.column("embedding")):
+                if width not in pivots:
+                    continue
+                for lo in range(0, len(rows), 4096):
+                    own, part = pa.array(rows[lo : lo + 4096]), raw[lo : lo + 4096].astype(kind)
+                    perm = base[width] + described(unit(part), pivots[width], depth)
+                    data, size = part.tobytes(), kind.itemsize * width
+                    yield pa.RecordBatch.from_arrays([b.column("least").take(own), b.column("copies").take(own), pa.array([data[i : i + size] for i in range(0, len(data), size)], pa.binary()), pa.array(perm.tolist(), pa.list_(pa.int32()))], ["id", "copies", "x", "perm"])
 
     flat = materialize(classes.mapInArrow(describe, "id long, copies long, x binary, perm array<int>"), "descriptions")
     listed = flat.select("id", "copies", "x", "perm", F.explode("perm").alias("pivot"))
-    sizes = listed.groupBy("pivot").count()  # one row per pivot: bounded
-    blocks = {r["pivot"]: -(-r["count"] // block) for r in sizes.collect()}
-    n_of = F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("pivot")]
-    dealt = listed.withColumn("n", n_of).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int"))
+    sizes = listed.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))  # one row per pivot: bounded
+    dealt = listed.join(F.broadcast(sizes), "pivot").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int"))
     # A block meets itself and every other block of its list: pairs (lo, hi).
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, F.col("own").cast("bigint")).alias("lo"), F.greatest(k, F.col("own").cast("bigint")).alias("hi"))))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("lo"), F.greatest(k, F.col("own")).alias("hi"))))
     pairs = dealt.select("id", "copies", "x", "perm", "pivot", "own", meets.alias("m")).select("id", "copies", "x", "perm", "pivot", "own", F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"))
+    nothing = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}
 
     def verify(key: tuple, t: pa.Table) -> pa.Table:
         pivot, lo, hi = (k.as_py() for k in key)
         own = np.asarray(t.column("own"))
-        order = np.argsort(own != lo, kind="stable")
-        t = t.take(pa.array(order))
-        ids, copies = np.asarray(t.column("id")), np.asarray(t.column("copies"))
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(-1, width)
-        perm = np.array(t.column("perm").to_pylist(), np.int32).reshape(len(ids), -1)
         cut = 0 if lo == hi else int((own == lo).sum())
-        if lo != hi and cut in (0, len(ids)):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        n, a, b = block_links(ids, copies, x, perm, cut, pivot, threshold, shared)
+        if len(own) < 2 or lo != hi and cut in (0, len(own)):
+            return pa.table(nothing)
+        t = t.take(pa.array(np.argsort(own != lo, kind="stable")))
+        ids, copies = np.asarray(t.column("id")), np.asarray(t.column("copies"))
+        x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), kind).reshape(len(ids), -1))
+        perm = np.asarray(pc.list_flatten(t.column("perm")), dtype=np.int32).reshape(len(ids), -1)
+        n, a, b = block_links(ids, copies, x, perm, cut, pivot, threshold, min(shared, perm.shape[1]))
         at = np.flatnonzero(n)
         cols = {
             "a": pa.concat_arrays([pa.array(a, pa.int64()), pa.array(ids[at], pa.int64())]),
