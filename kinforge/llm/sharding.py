@@ -3,19 +3,19 @@
 At each level a key draws -ln(u) / weight for every child, u hashed from the child's name and the key,
 and goes to the child with the least draw. A child is chosen in proportion to its weight, and where
 one weight changes, keys move only into or out of the subtree whose weight changed. Everything is a
-native expression: no shuffle is needed to place a row.
+native expression: no shuffle is needed to place a row. u comes from MD5, so that SQL engines agree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gapless, pick
+from .common import pick
 
-#: Rows of one numbered part of a shard.
+#: Rows of one numbered part of a shard, and of a run of equal rows that is written out at once.
 PART_ROWS = 100_000
 
 
@@ -45,8 +45,8 @@ def tree_of(n: int, base: int = 40, racks: int = 2, per_rack: int = 5) -> Tree:
 def _draw(names: list[str], weights: list[float], key: Column) -> Column:
     """The place of the child that wins; ties (practically none) go to the first."""
     def score(name: str, weight: float) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-        return -F.log(u) / F.lit(float(weight))
+        digits = F.substring(F.md5(F.concat(F.lit(f"{name}|"), key)), 1, 13)
+        return -F.log((F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)) / F.lit(float(weight))
 
     live = [(n, w, i) for i, (n, w) in enumerate(zip(names, weights, strict=True)) if w > 0]
     if len(live) == 1:
@@ -78,7 +78,7 @@ def place(key: Column, tree: Tree) -> dict[str, Column]:
 
 def with_shard(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame:
     """Adds column `out`; each level is its own projection, so that a level is computed once."""
-    p = place(F.col(key), tree)
+    p = place(F.coalesce(F.col(key).cast("string"), F.lit("")), tree)
     df = df.withColumn("_region", p["region"])
     df = df.withColumn("_rack", _choose([(F.col("_region") == i, c) for i, c in p["racks"]]))
     df = df.withColumn(out, _choose([((F.col("_region") == i) & (F.col("_rack") == j), c) for i, j, c in p["shards"]]).cast("int"))
@@ -90,14 +90,58 @@ def shard_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None, key:
 
     Null text: size 16, text_crc32 0. Repeated doc_ids share a shard and get slots of their own. An
     empty table gives no rows; other columns are ignored. The law is `key`: only doc_id and the tree
-    decide, so equal texts or one hot source don't gather in a shard.
+    decide, so equal texts or one hot source don't gather in a shard. Slots go by the MD5 of the doc_id.
     """
     rows = pick(docs, key, text).toDF("doc_id", "_text")
-    rows = rows.select("doc_id", (F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long") + 16).alias("size"), F.coalesce(F.crc32(F.encode("_text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), F.lit("key").alias("law"))
+    rows = rows.select("doc_id", (F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long") + 16).alias("size"), F.coalesce(F.crc32(F.encode("_text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"))
     rows = with_shard(rows, "doc_id", tree)
     rows = with_shard(rows, "doc_id", grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
     n = docs.count()
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(n // (tree.shards * PART_ROWS), 4 * spread // tree.shards) + 1
-    rows = gapless(rows, ["shard"], ["doc_id", "text_crc32"], parts, "slot")
-    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    rows = slotted(rows, max(n // (tree.shards * PART_ROWS), 4 * spread // tree.shards) + 1)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def slotted(rows: DataFrame, parts: int) -> DataFrame:
+    """Adds slot: 0, 1, ... in each shard, by (MD5 of doc_id, doc_id, text_crc32).
+
+    A shard is numbered in `parts` ranges of the MD5, each shifted by the counts before it. Equal rows
+    are counted first and written out at the end, so that many of them are one row until then.
+    """
+    name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    part = F.floor(F.conv(F.substring("name", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
+    once = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("name", name).withColumn("part", part)
+    sums = once.groupBy("shard", "part").agg(F.sum("n").alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.select("shard", "part", earlier(Window.partitionBy("shard").orderBy("part")).alias("before"))
+    inner = Window.partitionBy("shard", "part").orderBy("name", "doc_id", "text_crc32")
+    first = once.withColumn("inside", earlier(inner)).join(before, ["shard", "part"]).withColumn("first", F.col("before") + F.col("inside"))
+    runs = first.withColumn("lo", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(PART_ROWS).cast("long"))))
+    return runs.withColumn("slot", F.explode(F.sequence("lo", F.least(F.col("lo") + PART_ROWS, F.col("first") + F.col("n")) - 1)))
+
+
+def sql_of(tree: Tree, grown: Tree) -> str:
+    """shard_documents over the table documents, as DuckDB SQL."""
+    def draw(names: list[str], weights: list[float]) -> str:
+        score = "-ln((('0x' || substring(md5('{}|' || k), 1, 13))::bigint + 0.5::double) * pow(2.0::double, -52)) / {}::double"
+        return "list_sort([" + ", ".join(f"{{'s': {score.format(n, w)}, 'p': {i}}}" for i, (n, w) in enumerate(zip(names, weights, strict=True)) if w > 0) + "])[1].p"
+
+    def levels(t: Tree, source: str, out: str) -> str:
+        regions = draw([f"r{i}" for i in range(len(t.regions))], [sum(map(sum, r)) for r in t.regions])
+        racks = " ".join(f"when {i} then {draw([f'r{i}.{j}' for j in range(len(r))], list(map(sum, r)))}" for i, r in enumerate(t.regions))
+        shards, first = "", 0
+        for i, r in enumerate(t.regions):
+            for j, w in enumerate(r):
+                shards += f" when region = {i} and rack = {j} then {first} + {draw([f'r{i}.{j}.{k}' for k in range(len(w))], list(w))}"
+                first += len(w)
+        return f"(select * exclude (region, rack), (case{shards} end)::int as {out} from (select *, case region {racks} end as rack from (select *, {regions} as region from {source})))"
+
+    bits = "list_reduce([c, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))"
+    crc = "case when len(h) = 0 then 0 else xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::bigint)), lambda x, y: xor(x >> 8, t[xor(x & 255, y) + 1])), 4294967295) end"
+    return (
+        f"with crc as (select list({bits} order by c) as t from range(0, 256) r(c)), "
+        "d as (select doc_id, coalesce(doc_id::varchar, '') as k, coalesce(hex(encode(text)), '') as h from documents), "
+        f"f as (select doc_id, k, len(h) // 2 + 16 as size, ({crc})::bigint as text_crc32 from d, crc), "
+        f"s as (select * from {levels(grown, levels(tree, 'f', 'shard'), 'grown_shard')}) "
+        "select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by md5(k), doc_id nulls first, text_crc32) - 1 as slot, grown_shard from s"
+    )
