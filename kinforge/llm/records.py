@@ -1,7 +1,8 @@
 """Token ids as length-delimited binary records with masked checksums, and an offset index beside them.
 
 A record: its payload's length (uint64), the length's checksum, the payload, the payload's checksum;
-all little-endian. A payload: doc_id (int64), number of ids (uint32), bytes an id (uint32), the ids.
+all little-endian. A payload: doc_id (int64), number of ids (uint32), bytes an id (uint32; plus NO_ID
+where the doc_id is null, which is then written as 0), the ids.
 A checksum is CRC-32, rotated right by 15 bits plus a constant, so that data which hold checksums of
 their own are still told apart. The index (`.idx`) has for each record doc_id, offset and length of
 its frame: a reader in shuffled order opens the index, permutes it and seeks.
@@ -25,7 +26,9 @@ from .tokens import encoder
 MASK = 0xA282EAD8
 HEAD, PAYLOAD = struct.Struct("<QI"), struct.Struct("<qII")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8")])
-MAGIC = b"KFIDX001"
+MAGIC, NO_ID = b"KFIDX001", 1 << 31
+#: Records of a batch that is read back.
+READ_ROWS = 20_000
 
 
 def masked(data: bytes) -> int:
@@ -51,14 +54,14 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
-def pack(doc_id: int, ids: np.ndarray) -> bytes:
+def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return PAYLOAD.pack(doc_id, len(ids), width) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
+    return PAYLOAD.pack(doc_id or 0, len(ids), width | NO_ID * (doc_id is None)) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
-def unpack(payload: bytes) -> tuple[int, np.ndarray]:
+def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, n, width = PAYLOAD.unpack_from(payload)
-    return doc_id, np.frombuffer(payload, "<u2" if width == 2 else "<u4", n, PAYLOAD.size).astype("<u4")
+    return None if width & NO_ID else doc_id, np.frombuffer(payload, "<u2" if width & 7 == 2 else "<u4", n, PAYLOAD.size).astype("<u4")
 
 
 def open_store(uri: str):
@@ -68,7 +71,7 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
 
 
-MANIFEST = "path string, docs long, ids long, first long"
+MANIFEST = "path string, docs long, ids long"
 
 
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 1, doc_id: str = "doc_id", text: str = "text") -> list:
@@ -95,23 +98,28 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None
                 for i, key in enumerate(keys):
                     own = ids[off[i] : off[i + 1]]
                     own = own if end_id is None else np.append(own, np.uint32(end_id))
-                    data = frame(pack(key, own))
-                    out_bytes.append(data)
-                    index.append((key, at, len(data)))
-                    at += len(data)
+                    out_bytes.append(frame(pack(key, own)))
                     total += len(own)
+                entry = np.zeros(len(keys), INDEX)
+                entry["doc_id"], entry["length"] = [k or 0 for k in keys], list(map(len, out_bytes))
+                entry["offset"] = at + np.cumsum(entry["length"]) - entry["length"]
+                at += int(entry["length"].sum())
+                index.append(entry)
                 sink.write(b"".join(out_bytes))
         if sink:
             sink.close()
+            index = np.concatenate(index)
             with fs.open_output_stream(f"{temp}.idx") as f:
-                f.write(MAGIC + np.array(index, INDEX).tobytes())
+                f.write(MAGIC + index.tobytes())
             fs.move(temp, f"{name}.rec")
             fs.move(f"{temp}.idx", f"{name}.idx")
-            yield pa.RecordBatch.from_pydict({"path": [name], "docs": [len(index)], "ids": [total], "first": [index[0][0]]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "docs": [len(index)], "ids": [total]})
 
-    # A null doc_id can't be ordered among numbers: it is written as the least.
-    rows = pick(docs, doc_id, text).toDF("doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), "text")
+    # Ranges go on below the doc_id, down to the place in the input, so that rows of one id (or without
+    # any: they come first) are not all written by one task.
+    rows = pick(docs, doc_id, text).toDF("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.coalesce(F.octet_length("text"), F.lit(0)).asc(), F.xxhash64("text").asc(), F.col("_row").asc()]
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_row")
     return sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r["path"])
 
 
@@ -155,7 +163,7 @@ def read_records(spark, manifest: list, uri: str, starts: bool = True) -> DataFr
                 for key, ids in iterate(uri, path):
                     got.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
-                    if len(got) == 20_000:
+                    if len(got) == READ_ROWS:
                         yield table(got)
                         got = []
                 if got:
@@ -173,7 +181,7 @@ def tokens_roundtrip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFr
     """Writes all documents as records and returns what the files hold, one row per document.
 
     Null and empty texts are the end id alone. Repeated doc_ids follow one another, shorter texts
-    first. A null doc_id comes first, as the least integer. An empty table gives no rows.
+    first. Rows without doc_id come first, and stay without. An empty table gives no rows.
     """
     spark = docs.sparkSession
     out = fresh_dir(spark, "records")
