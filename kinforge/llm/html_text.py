@@ -11,6 +11,7 @@ block with its label.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,8 +23,9 @@ from .common import pick
 
 # Elements of HTML by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title iframe object svg math canvas audio video map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input nobr".split())
+SKIPPED = frozenset("script style template head title iframe svg canvas audio video".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input nobr noscript object map math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mstyle semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "p": ("article", "aside", "blockquote", "body", "div", "footer", "form", "header", "li", "main", "nav", "section", "table", "td", "th")}
@@ -43,13 +45,14 @@ SAYS = {
     "related": "related share sharing social follow recommended recommendations more popular trending readmore author byline bio meta",
 }
 SAID = {w: k for k, words in SAYS.items() for w in words.split()}
-NUMBERS = ["bias", "hidden", "links", "no_links", "short", "long", "empty", "first", "last"]
+NUMBERS = ["bias", "hidden", "links", "no_links", "short", "long", "empty"]
 FEATURES = [*TAGS, *SAYS, *NUMBERS]
 PLACE = {k: i for i, k in enumerate(FEATURES)}
-KINDS = ["section", "text", "heading", "item", "marked", "root"]
-KIND_OF = {"p": 1, "blockquote": 1, "pre": 1, "cell": 1, "figure": 1, "definition": 1, "heading": 2, "item": 3, "list": 3}
+KINDS = ["section", "text", "heading", "item", "marked", "root", "header", "top"]
+KIND_OF = {"header": 6, "aside": 4, "nav": 4, "footer": 4, "form": 4, "control": 4, "p": 1, "blockquote": 1, "pre": 1, "cell": 1, "figure": 1, "definition": 1, "heading": 2, "item": 3, "list": 3}
 SPACE = re.compile(r"[\s\x00]+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Dom(HTMLParser):
@@ -59,8 +62,9 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.marks, self.hidden = ["html"], [-1], [()], [False]
         self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.open = Counter(["html"])  # how many of each tag stand on the stack: no scan for one that doesn't
         self.links = 0
-        self.skip: list[str] = []
+        self.skip: list[str] = []  # open elements without content: the head, or a script, style, drawing...
         self.blocks: list[tuple[int, str]] = []
         self.link_chars = [0]
         self.own: list[str] = []
@@ -74,10 +78,13 @@ class Dom(HTMLParser):
 
     def shut(self, at: int) -> None:
         self.cut()
+        self.open.subtract(t for t, _ in self.stack[at:])
         del self.stack[at:]
 
     def implied(self, names: tuple[str, ...], scope: tuple[str, ...]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
+            if not any(self.open[n] for n in names):
+                return
             if self.stack[i][0] in names:
                 # An outer one of them may end as well, as a row does with its cell.
                 self.shut(i)
@@ -85,11 +92,19 @@ class Dom(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skip and self.skip[-1] == "head":
+            if tag in IN_HEAD:
+                if tag not in VOID:
+                    self.skip.append(tag)
+                return
+            if tag in ("head", "html"):
+                return
+            self.skip = []  # the head ends where something begins that can't stand in it
         if self.skip:
-            if tag == self.skip[0]:
+            if tag == self.skip[-1]:
                 self.skip.append(tag)
             return
-        if tag == "body" and self.skip == [] and any(t == "body" for t, _ in self.stack):
+        if tag == "body" and self.open["body"]:
             return
         if tag in SKIPPED:
             self.skip = [tag]
@@ -110,13 +125,13 @@ class Dom(HTMLParser):
         self.links = 0
         if tag in VOID:
             return
-        said, hidden = [], False
+        said, hidden = [], self.hidden[self.stack[-1][1]]
         for k, v in attrs:
             if k in ("class", "id", "role", "itemprop", "aria-label"):
                 for w in WORD.findall(v or ""):
                     if s := SAID.get(w.lower()):
                         said.append(s)
-            elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v or ""):
+            elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and UNSEEN.search(v or ""):
                 hidden = True
         self.tags.append(tag)
         self.parents.append(self.stack[-1][1])
@@ -124,12 +139,13 @@ class Dom(HTMLParser):
         self.hidden.append(hidden)
         self.link_chars.append(0)
         self.stack.append((tag, len(self.tags) - 1))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            if tag == self.skip[0]:
+            if tag == self.skip[-1]:
                 self.skip.pop()
-            elif self.skip[0] in ("head", "title") and tag in ("html", "body"):
+            elif self.skip[0] in ("head", "title") and tag in ("head", "html", "body"):
                 self.skip = []
             return
         if tag == "a":
@@ -138,17 +154,22 @@ class Dom(HTMLParser):
             if tag == "body":
                 self.cut()
             return
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 self.links = 0
                 return self.shut(i)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        before = len(self.skip)
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in SKIPPED:
-            self.skip = []
+        if tag not in VOID and len(self.skip) > before:
+            self.skip.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and data.strip():
+            self.skip = []
         if not self.skip:
             self.own.append(data)
             if self.links:
@@ -157,10 +178,7 @@ class Dom(HTMLParser):
 
 def parsed(html: str | None) -> Dom:
     d = Dom()
-    text = html or ""
-    if re.search(r"<head[\s>]", text, re.I) and not re.search(r"</head\s*>", text, re.I):
-        text = re.sub(r"<body", "</head><body", text, count=1, flags=re.I)
-    d.feed(text)
+    d.feed(html or "")
     d.close()
     d.cut()
     return d
@@ -188,6 +206,8 @@ class Forest:
                 for m in marks:
                     self.x[at, PLACE[m]] = 1
                 self.kind[at] = 5 if i == 0 else 4 if marks and "content" not in marks else KIND_OF.get(name, 0)
+                if 1 <= self.kind[at] <= 3 and d.tags[d.parents[i]] in ("html", "body"):
+                    self.kind[at] = 7  # stands in no container
                 self.x[at, PLACE["hidden"]] = d.hidden[i]
                 links[at] = d.link_chars[i]
             for i, text in d.blocks:
@@ -204,12 +224,7 @@ class Forest:
             for v in (chars, links):
                 np.add.at(v, self.parent[level], v[level])
         density = np.minimum(links / np.maximum(chars, 1), 1)
-        first, last = np.zeros(n, bool), np.zeros(n, bool)
-        for level in self.levels[1:]:
-            p = self.parent[level]
-            new = np.concatenate(([True], p[1:] != p[:-1]))
-            first[level[new]], last[level[np.append(new[1:], True)]] = True, True
-        numbers = {"bias": 1, "links": density, "no_links": (density == 0) & (chars > 0), "short": (chars > 0) & (chars < 40), "long": chars > 300, "empty": chars == 0, "first": first, "last": last}
+        numbers = {"bias": 1, "links": density, "no_links": (density == 0) & (chars > 0), "short": (chars > 0) & (chars < 40), "long": chars > 300, "empty": chars == 0}
         for k, v in numbers.items():
             self.x[:, PLACE[k]] = v
 
@@ -252,7 +267,7 @@ class Model:
         return sum_product(f, self.unary(f), self.pair)[0][:, 1] if len(f.x) else np.zeros(0)
 
 
-def fit(doms: list[Dom], labels: list[list[int]], rounds: int = 150, rate: float = 0.1, decay: float = 0.0003) -> Model:
+def fit(doms: list[Dom], labels: list[list[int]], rounds: int = 200, rate: float = 0.15, decay: float = 0.0001) -> Model:
     """Maximum likelihood with Adam; labels: 1 or 0 for every node of every page."""
     f, m = Forest(doms), Model()
     y = np.array([v for own in labels for v in own], np.int64)
@@ -320,6 +335,8 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
 
     def story() -> tuple[str, list[str]]:
         out, blocks = [], []
+        plain = r.random() < 0.1  # paragraphs may be nothing but divs
+        mixed = r.choice([0.0, 0.05, 0.4])  # how often something else stands between blocks
 
         def say(html: str, text: str) -> None:
             out.append(html)
@@ -328,11 +345,12 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
         if r.random() < 0.85:
             t = words(int(r.integers(3, 10)))
             tag = r.choice(["h1", "h1", "h2"])
-            say(f"<{tag}>{t}</{tag}>", t)
-        for _ in range(int(r.integers(1, 12))):
+            how = r.random()
+            say(f"<header{' class=entry-header' * int(how < 0.06)}><{tag}>{t}</{tag}></header>" if how < 0.2 else f"<{tag}>{t}</{tag}>", t)
+        for _ in range(int(r.integers(1, 12)) if r.random() < 0.8 else 2):
             kind, t = r.random(), prose(1, 7)
             if kind < 0.62:
-                say(str(r.choice([f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<p>{t} <i></i></p>"])), t)
+                say(f"<div>{t}</div>" if plain else str(r.choice([f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<p>{t} <i></i></p>"])), t)
             elif kind < 0.7:
                 t = words(3)
                 say(f"<h2>{t}</h2>", t)
@@ -351,8 +369,10 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
             else:
                 t = sentence(1, 4)
                 say(f"<p>{t}</p>", t)
+            if r.random() < mixed:
+                out.append(junk[str(r.choice(["ad", "notice", "form", "side", "related"]))]())
             if r.random() < 0.04:
-                out.append(junk[str(r.choice(["ad", "notice", "form"]))]())
+                out.append(str(r.choice([f"<p hidden>{t}</p>", f'<div style="display: none"><p>{t}</p></div>', f'<div aria-hidden="true">{t}</div>'])))
         return "".join(out), blocks
 
     pages = []
@@ -362,16 +382,18 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
         if form < 0.45:
             body = f"<article>{inner}</article>"
         elif form < 0.6:
-            body = f"<main>{inner}</main>"
-        elif form < 0.85:
+            more = "".join(junk[k]() for k in ("related", "side", "comments", "notice") if r.random() < 0.2)
+            body = f"<main>{inner}{more}</main>"
+        elif form < 0.8:
             body = wrap(["content", "post", "article-body", "entry-content", "story"], inner, ("div", "div", "section"))
-        elif form < 0.95:
-            body = f"<div>{inner}</div>"
+        elif form < 0.92:
+            deep = int(r.integers(1, 4))  # divs that say nothing
+            body = "<div>" * deep + inner + "</div>" * deep
         else:
             body = inner
         before = [junk[k]() for k in ("header", "nav", "ad", "notice", "form") if r.random() < 0.45]
         after = [junk[k]() for k in ("comments", "related", "side", "ad", "form", "footer") if r.random() < 0.45]
-        if r.random() < 0.05:
+        if r.random() < 0.15:
             before, after = [], []
         tail = "</body></html>" if r.random() < 0.9 else ""
         pages.append((f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>{''.join(before)}<!-- x -->{body}{''.join(after)}{tail}", blocks))
@@ -380,7 +402,8 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
 
 def node_labels(d: Dom, blocks: list[str]) -> list[int]:
     """Labels of a page's nodes from its main blocks, matched in order. A node with text of its own is
-    content if all of it is; any other if most blocks below it are, but not the page as a whole."""
+    content if all of it is. Of the others, the innermost one around all main blocks is, those in it that
+    hold main blocks are, and those around it that hold nothing else; never the page as a whole."""
     n, k = len(d.tags), 0
     own, good, total = [-1] * n, [0] * n, [0] * n
     for node, text in d.blocks:
@@ -392,8 +415,9 @@ def node_labels(d: Dom, blocks: list[str]) -> list[int]:
     for i in range(n - 1, 0, -1):
         good[d.parents[i]] += good[i]
         total[d.parents[i]] += total[i]
+    inner = max((i for i in range(n) if good[i] == k), default=0) if k else -1
     whole = ("html", "body")
-    return [o if o >= 0 else int(t not in whole and g >= 0.6 * max(c, 1)) for o, t, g, c in zip(own, d.tags, good, total, strict=True)]
+    return [o if o >= 0 else int(t not in whole and g > 0 and (g < k or i == inner or g == c)) for i, (o, t, g, c) in enumerate(zip(own, d.tags, good, total, strict=True))]
 
 
 def learn(pages: list[tuple[str, list[str]]] | None = None) -> Model:
@@ -417,7 +441,9 @@ PASS_PAGES, PASS_CHARS = 500, 8_000_000
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
-    The whole html is parsed; null and empty html, and pages without main text, give an empty text.
+    The whole html is parsed; null and empty html, and pages without main text, give an empty text. The
+    text inside script, style, template, title, svg, iframe, canvas, audio and video is never main text
+    (none of it stands on the page); all else is for the model to tell.
     Broken markup is read as browsers mostly do. Rows are taken one by one: repeated rows each give a
     row, null ids and urls stay null, other columns are ignored.
     """
