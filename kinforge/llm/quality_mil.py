@@ -1,6 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. A passage's statistics are encoded, h = tanh(E x + e);
+A document is a bag of passages of PASSAGE words. A passage's statistics and its words, hashed into
+BUCKETS signed sums, are encoded, h = tanh(E x + e);
 gated attention, w . (tanh(V h) * sigmoid(U h)), gives each passage a weight by softmax over its
 document; the weighted sum of encodings is scored by a logistic unit. All of it is learned together
 from document labels with Adam, on the driver and from a bounded sample; executors score whole texts.
@@ -19,8 +20,10 @@ from .common import bounded_batches, pick, slices
 from .stats import CLASSES, TRAIN_ROWS, TextStats, held_out, labelled, sums
 
 PASSAGE = 48
-HIDDEN, GATE = 16, 8
-FEATURES = [*CLASSES, "chars", "repeated", "same", "distinct", "fill", "single", "empty"]
+HIDDEN, GATE, BUCKETS = 16, 8, 32
+#: Passages of a labelled document that the model learns from at most, evenly spaced (scores take all).
+BAG = 64
+FEATURES = [*CLASSES, "chars", "repeated", "same", "distinct", "fill", "single", "empty", *[f"word{i}" for i in range(BUCKETS)]]
 CUT = 0.7
 
 
@@ -39,9 +42,11 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     m = int(s.code.max()) + 1 if len(s.code) else 1
     of = np.repeat(np.arange(len(doc)), words)
     distinct = np.bincount(np.unique(of * m + s.code) // m, minlength=len(doc)) if len(of) else np.zeros(len(doc))
-    cols = [sums(v, ends) / (chars if k in ("symbols", "digits", "capitals", "others") else size) for k, v in s.of_class.items()]
+    cols = [s.of_class(k, ends) / (chars if k in ("symbols", "digits", "capitals", "others") else size) for k in CLASSES]
     cols += [chars / size, sums(s.repeated, ends) / size, sums(s.same, ends) / size, distinct / size, words / PASSAGE, (count == 1)[doc], words == 0]
-    return np.stack([c.astype(np.float64) for c in cols], axis=1), np.append(0, np.cumsum(count))
+    bucket, sign = (s.hash >> np.uint64(20)) % np.uint64(BUCKETS), np.where(s.hash & np.uint64(1), 1.0, -1.0)
+    hashed = np.bincount(of * BUCKETS + bucket.astype(np.int64), sign, len(doc) * BUCKETS).reshape(-1, BUCKETS) / size[:, None]
+    return np.concatenate([np.stack(cols, axis=1), hashed], axis=1), np.append(0, np.cumsum(count))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -116,17 +121,18 @@ def fit(x: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int = 30, batch:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """A model from at most `most` labelled documents; their passages' statistics go to the driver."""
+    """A model from at most `most` labelled documents and BAG passages of each; their statistics go to
+    the driver, in half precision (two bytes a number: some 70 MB if every bag is full)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x, off = passages(part.column("text"))
-                data = [x[a:b].astype("<f4").tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+                data = [x[np.linspace(a, b - 1, min(b - a, BAG)).astype(np.int64)].astype("<f2").tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(data, pa.binary())], ["doc_id", "quality", "x"])
 
     got = labelled(docs, labels, most).mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
-    bags = [np.frombuffer(b, "<f4").reshape(-1, len(FEATURES)) for b in got.column("x").to_pylist()]
+    bags = [np.frombuffer(b, "<f2").reshape(-1, len(FEATURES)) for b in got.column("x").to_pylist()]
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, len(FEATURES)))
     return fit(x, np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64), np.asarray(got.column("quality"), dtype=np.float64))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, pick, slices
-from .stats import TRAIN_ROWS, TextStats, labelled
+from .stats import CLASSES, TRAIN_ROWS, TextStats, labelled
 
 #: Features, and the sign of their constraint (0: free).
 FEATURES = {
@@ -29,7 +29,7 @@ KEEP_AT = 0.5
 def counts(s: TextStats) -> dict[str, np.ndarray]:
     """The counts that the base rules and the result are made of."""
     return {
-        "n_words": s.words.counts, "word_chars": s.per_text(s.chars), "n_symbols": s.per_text(s.of_class["symbols"]),
+        "n_words": s.words.counts, "word_chars": s.per_text(s.chars), "n_symbols": s.of_class("symbols", s.words.offsets),
         "n_dup_lines": s.lines()["dup"], "n_repeat_words": s.per_text(s.repeated),
     }
 
@@ -42,7 +42,7 @@ def features(s: TextStats, c: dict[str, np.ndarray]) -> np.ndarray:
     """One row per text; rates are per word, character or line."""
     lines = s.lines()
     n, size, rows = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(lines["lines"], 1)
-    of = {k: s.per_text(v) for k, v in s.of_class.items()}
+    of = {k: s.of_class(k, s.words.offsets) for k in CLASSES}
     cols = {
         "log_words": np.log1p(c["n_words"]), "mean_chars": size / n, "symbols": of["symbols"] / size, "pipes": of["pipes"] / n, "digits": of["digits"] / size,
         "capitals": of["capitals"] / size, "stops": of["stops"] / n, "marks": of["marks"] / n, "repeat_words": c["n_repeat_words"] / n,

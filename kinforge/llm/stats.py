@@ -14,6 +14,8 @@ from .substring import grams, mix, window_starts
 
 #: Words of a window that counts as repeated.
 REPEAT_WINDOW = 8
+#: Words whose windows are hashed at a time.
+PIECE = 1 << 20
 
 
 def byte_class(chars: str) -> np.ndarray:
@@ -39,19 +41,27 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The same for small numbers, without running sums of all of them."""
+    out, full = np.zeros(len(offsets) - 1, np.int64), np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(values[: offsets[-1]], offsets[full], dtype=np.int64)
+    return out
+
+
 class TextStats:
-    """Counts of each word of the texts, and which words lie in a window that its text repeats."""
+    """Counts of each word of the texts, and which words lie in a window that its text repeats.
+
+    Memory is some 40 bytes a word, so that a text of many million words can be taken whole."""
 
     def __init__(self, texts: pa.Array):
         texts = pc.fill_null(texts.cast(pa.string()), "")
         self.texts, self.words = texts, Words(texts)
         w = self.words
         flat = w.flat if len(w) == 0 else pa.concat_arrays([w.flat])
-        self.length = np.asarray(pc.binary_length(flat), dtype=np.int64)
-        self.chars = np.asarray(pc.utf8_length(flat), dtype=np.int64)
-        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64) if len(flat) else np.zeros(1, np.int64)
-        data = np.frombuffer(flat.buffers()[2], np.uint8) if len(flat) else np.zeros(0, np.uint8)
-        self.of_class = {k: sums(table[data], ends) for k, table in CLASSES.items()}
+        self.chars = np.asarray(pc.utf8_length(flat))
+        self.ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+        self.data = np.frombuffer(flat.buffers()[2], np.uint8) if len(flat) else np.zeros(0, np.uint8)
         distinct, self.code = w.coded()
         digest = xxhash.xxh64_intdigest
         self.hash = np.fromiter((digest(x) for x in distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))[self.code] if len(w) else np.zeros(0, np.uint64)
@@ -63,23 +73,32 @@ class TextStats:
 
     def _repeated(self) -> np.ndarray:
         """Words in windows of REPEAT_WINDOW words that their text holds twice or more."""
-        w = self.words
+        w, n = self.words, len(self.words)
         at = window_starts(w.offsets, REPEAT_WINDOW)
-        out = np.zeros(len(w) + 1, np.int32)
+        out = np.zeros(n + 1, np.int32)
         if not len(at):
             return out[:-1] > 0
-        (g,) = grams(self.hash, [REPEAT_WINDOW])
-        key = mix(g[at] + mix(self.doc[at].astype(np.uint64) + np.uint64(1)))
+        key = np.zeros(n, np.uint64)
+        for lo in range(0, n, PIECE):  # window hashes don't depend on where they were begun
+            (g,) = grams(self.hash[lo : lo + PIECE + REPEAT_WINDOW - 1], [REPEAT_WINDOW])
+            key[lo : lo + len(g)] = g
+        key = key[at] if len(w.offsets) == 2 else mix(key[at] + mix(self.doc[at].astype(np.uint64) + np.uint64(1)))
         order = np.argsort(key)
-        k = key[order]
-        twice = np.zeros(len(k), bool)
-        twice[1:] = k[1:] == k[:-1]
+        key = key[order]
+        twice = np.zeros(len(key), bool)
+        twice[1:] = key[1:] == key[:-1]
+        del key
         twice[:-1] |= twice[1:]
         hit = at[order[twice]]
-        out[: len(w)] += np.bincount(hit, minlength=len(w)).astype(np.int32)[: len(w)]
+        del order
+        out[:n] += np.bincount(hit, minlength=n).astype(np.int32)
         np.subtract.at(out, hit + REPEAT_WINDOW, 1)
         return np.cumsum(out[:-1]) > 0
 
+    def of_class(self, name: str, offsets: np.ndarray) -> np.ndarray:
+        """Characters of a class in the words between consecutive offsets."""
+        return segment_sums(CLASSES[name][self.data], self.ends[offsets])
+
     def per_text(self, values: np.ndarray) -> np.ndarray:
         return sums(values, self.words.offsets)
 
