@@ -2,7 +2,7 @@
 
 The reference of a document is everything that starts earlier. It is indexed in blocks: a block holds
 all stretches of the corpus whose 20-word windows have one of the block's anchors (a window's anchor is
-the least hash of its 8-word grams), word for word. Two equal windows have the same anchor, so a
+the least hash of its 5-word grams), word for word. Two equal windows have the same anchor, so a
 document only meets the blocks of its own anchors and misses no match.
 
 A stretch is parsed greedily: its first window that an earlier place of the block holds too (looked up
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Words, bounded_batches, slices, trim
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 DOC = np.dtype([("doc", "<i8"), ("tie", "<i8")])
@@ -41,7 +41,7 @@ RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4")])
 FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("src_doc", "<i8"), ("src_start", "<u4")])
 #: Input bytes for one block, and blocks that a task reads on average (their number grows with the input;
 #: that of tasks only up to MOST_TASKS, then each reads more blocks).
-BLOCK_BYTES, TASK_BLOCKS, MOST_TASKS = 768 << 10, 4, 100_000
+BLOCK_BYTES, TASK_BLOCKS, MOST_TASKS = 1536 << 10, 2, 100_000
 #: Words compared at once when factors are extended, and pairs of words in all.
 STEP, PAIRS = 16, 1 << 20
 SPACE, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
@@ -170,7 +170,7 @@ def stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, p
 def emit(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, blob) of a task's slices: stretches for their blocks, and the factors that a slice
     has already found in itself, to be passed on."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for ids, ties, texts, before, most in stretches(batch):
             words = Words(texts)
@@ -210,23 +210,38 @@ def emit(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBa
                 run, to = run[by], to[by]
                 cuts = [*runs_of((to, 0)).tolist(), len(by)]
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    out.append((int(to[i]), pack_runs(table, run[i:j], squeeze(b"\n".join([data[x:y] for x, y in zip(lo[i:j], hi[i:j], strict=True)])))))
+                    out.append((int(to[i]), pack_runs(table, run[i:j], b"\n".join([data[x:y] for x, y in zip(lo[i:j], hi[i:j], strict=True)]), squeeze)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["block", "blob"])
 
 
-def pack_runs(table: np.ndarray, run: np.ndarray, text: bytes) -> bytes:
+def planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte: all lowest bytes first, so that small ones leave rows of zeros to squeeze."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data: bytes, n: int, nth: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8, 8 * n, nth).reshape(8, n).T.copy().view("<i8").ravel()
+
+
+def pack_runs(table: np.ndarray, run: np.ndarray, text: bytes, squeeze) -> bytes:
+    """Runs come in the order of documents and places, which are written as steps."""
     docs, local = np.unique(run["doc"], return_inverse=True)
-    run = run.copy()
-    run["doc"] = local
-    return b"".join((np.array([0, len(docs), len(run)], "<u4").tobytes(), table[docs].tobytes(), run.tobytes(), text))
+    own = table[docs]
+    body = (planes(np.diff(own["doc"], prepend=0)), planes(np.diff(local, prepend=0)), planes(run["start"]), planes(run["n"]), own["tie"].tobytes(), text)
+    return np.array([0, len(docs), len(run)], "<u4").tobytes() + squeeze(b"".join(body))
 
 
 def unpack_runs(blob: bytes, open_) -> tuple[np.ndarray, np.ndarray, bytes]:
     _, d, r = np.frombuffer(blob, "<u4", 3).tolist()
-    docs = np.frombuffer(blob, DOC, d, 12)
-    run = np.frombuffer(blob, RUN, r, 12 + docs.nbytes)
-    return docs, run, open_(blob[12 + docs.nbytes + run.nbytes :])
+    data = open_(blob[12:])
+    docs, run = np.zeros(d, DOC), np.zeros(r, RUN)
+    docs["doc"] = np.cumsum(unplanes(data, d, 0))
+    for i, k in enumerate(RUN.names):
+        run[k] = np.cumsum(unplanes(data, r, 8 * d)) if k == "doc" else unplanes(data, r, 8 * d + 8 * i * r)
+    at = 8 * d + 24 * r
+    docs["tie"] = np.frombuffer(data, "<i8", d, at)
+    return docs, run, data[at + 8 * d :]
 
 
 def factor_blobs(table: np.ndarray, own: np.ndarray, fac: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
