@@ -353,7 +353,9 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     none), and a struct `carried` of the columns to carry along."""
     other = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
     rows = bounded_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), other.alias("carried"))
-    rows = rows.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_tie"))
+    # Texts of one doc_id are told apart by a hash; where no id is repeated, none has to travel along.
+    repeated = not docs.groupBy(F.col(f"`{doc_id}`")).count().where("count > 1").isEmpty()
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("_tie"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 50:  # no estimate for rows that come from no file
