@@ -31,6 +31,32 @@ def script(c: Column) -> Column:
     return F.when(c.rlike(INDIC), 2).when(c.rlike("[^\\x00-\\x7F]"), 1).otherwise(0)
 
 
+# Blocks of Indic scripts, by their first and last code point.
+SCRIPTS = {
+    "devanagari": "0900-097F", "bengali": "0980-09FF", "gurmukhi": "0A00-0A7F", "gujarati": "0A80-0AFF", "oriya": "0B00-0B7F", "tamil": "0B80-0BFF",
+    "telugu": "0C00-0C7F", "kannada": "0C80-0CFF", "malayalam": "0D00-0D7F", "sinhala": "0D80-0DFF",
+}
+
+
+def indic_script(c: Column) -> Column:
+    """The first Indic script of the list that a text has a letter of, '' for none."""
+    out = F.lit("")
+    for name, span in reversed(SCRIPTS.items()):
+        a, b = span.split("-")
+        out = F.when(c.rlike(f"[\\u{a}-\\u{b}]"), name).otherwise(out)
+    return out
+
+
+def latin_tokens(c: Column) -> Column:
+    """Words of folded lower-case letters and digits."""
+    return words(F.trim(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9]+", " ")))
+
+
+def indic_tokens(c: Column) -> Column:
+    """Words, as white space divides them, with an Indic letter."""
+    return F.filter(F.split(c, r"[ \t\r\n]+"), lambda x: x.rlike(INDIC))
+
+
 def country(c: Column) -> Column:
     return F.lower(F.trim(fold(c)))
 
@@ -90,7 +116,7 @@ def name_tokens(core: Column) -> Column:
 
 
 def ordinal_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"\b(\d+)(?:st|nd|rd|th|er|re|eme|e)\b", "$1")
+    return F.regexp_replace(c, r"\b(\d+)(?:st|nd|rd|th|er|ere|re|eme|e)\b", "$1")
 
 
 def numbers(c: Column) -> Column:
@@ -108,7 +134,7 @@ def postal(c: Column) -> Column:
 
 def ranges(c: Column) -> Column:
     """(lo, hi) of `a-b` with 0 < b - a <= 40."""
-    hits = F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{1,9}-\d{1,9})\b"), F.lit(1)), lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("lo"), F.split(x, "-")[1].cast("int").alias("hi")))
+    hits = F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{1,9}\s*-\s*\d{1,9})\b"), F.lit(1)), lambda x: F.struct(F.trim(F.split(x, "-")[0]).cast("int").alias("lo"), F.trim(F.split(x, "-")[1]).cast("int").alias("hi")))
     return F.filter(hits, lambda r: (r["hi"] - r["lo"] > 0) & (r["hi"] - r["lo"] <= 40))
 
 

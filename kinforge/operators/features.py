@@ -111,9 +111,11 @@ def pair_features(pairs: DataFrame, records: DataFrame, fuzzy: bool = True) -> D
     rows = both_records(pairs, records.withColumn("name_tokens", name_tokens(F.col("name_core"))), NEEDED)
     rows = rows.withColumns(name_features() | number_features() | address_features() | flag_features())
     if fuzzy:
-        for prefix, column in FUZZY.items():
-            rows = rows.withColumn("_c", compare(F.col(f"{column}_1"), F.col(f"{column}_2"))).select("*", *[F.col(f"_c.{k}").alias(f"{prefix}_{k}") for k in ("ratio", "tsort", "tset", "partial", "jw")]).drop("_c")
-        rows = rows.withColumn("_c", compare(F.col("name_core_1"), F.col("name_core_2"), ("lcs", "postfix", "skeleton", "softcov", "acronym"))).select("*", *[F.col(f"_c.{k}").alias(f"nm_{k}") for k in ("lcs", "postfix", "skeleton", "softcov", "acronym")]).drop("_c")
+        # All comparators stand in one projection, so that Spark runs them in one Arrow pass.
+        plain, more = ("ratio", "tsort", "tset", "partial", "jw"), ("lcs", "postfix", "skeleton", "softcov", "acronym")
+        both = lambda c: (F.col(f"{c}_1"), F.col(f"{c}_2"))
+        rows = rows.withColumns({f"_{p}": compare(*both(c), plain) for p, c in FUZZY.items()} | {"_more": compare(*both("name_core"), more)})
+        rows = rows.select("*", *[F.col(f"_{p}.{k}").alias(f"{p}_{k}") for p in FUZZY for k in plain], *[F.col(f"_more.{k}").alias(f"nm_{k}") for k in more]).drop("_more", *[f"_{p}" for p in FUZZY])
     return rows.drop(*[f"{c}_{n}" for c in NEEDED for n in (1, 2)])
 
 

@@ -38,6 +38,42 @@ def violations(rows: DataFrame, entities: DataFrame, known: DataFrame | None = N
     return out
 
 
+def header_error(header: str | None, columns: list[str], name: str = "file") -> str | None:
+    """What is wrong with a list file's first line: it must be the columns, divided by a tab, in any case."""
+    if not header:
+        return f"{name} is empty."
+    if "\t" not in header and "," in header:
+        return f"{name}: the header has commas and no tab; lists are tab-separated."
+    found = [c.strip().lower() for c in header.rstrip("\r\n").split("\t")]
+    return None if found == columns else f"{name}: header {found}, expected {columns}."
+
+
+def check_lists(spark, matches: str, candidates: str | None, entities: DataFrame, known: DataFrame | None = None) -> tuple[list[str], list[str]]:
+    """(errors, warnings) of a match list and, where there is one, a candidate list. Unknown ids are looked
+    for only if known ids are given; matches that are no candidates are a warning."""
+    from ..sources.io import exists, list_pairs, read_header, read_lines
+
+    errors, warnings, found = [], [], {}
+    if known is None:
+        warnings.append("ids are not held against the records")
+    for path, column, needed in ((matches, "matched_entity_ids", True), (candidates, "candidate_entity_ids", False)):
+        if path is None:
+            continue
+        if not exists(spark, path):
+            (errors if needed else warnings).append(f"{path} is missing")
+            continue
+        if wrong := header_error(read_header(spark, path), ["source1_entity_id", column], path):
+            errors.append(wrong)
+            continue
+        found[column] = read_lines(spark, path)
+        errors += [f"{path}: {r['rule']} ({r['n']}): {r['examples']}" for r in violations(found[column], entities, known).where("n > 0").collect()]
+    if len(found) == 2:
+        outside = not_contained(*[list_pairs(rows) for rows in found.values()]).select("s1_id").distinct()
+        if n := outside.count():
+            warnings.append(f"{n} entities have matches that are no candidates: {[r[0] for r in outside.orderBy('s1_id').limit(5).collect()]}")
+    return errors, warnings
+
+
 def not_contained(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matched pairs that aren't candidates (a warning, not an error)."""
     return matches.select("s1_id", "s23_id").distinct().join(candidates.select("s1_id", "s23_id"), ["s1_id", "s23_id"], "left_anti")

@@ -11,6 +11,7 @@ from ..functions.comparators import compare
 from ..operators import features as P
 from ..operators import learning as L
 from ..sources import fixtures as X
+from ..sources.stages import stage
 
 COUNTRIES = X.duck_sql(X.ER_RECORDS)
 INDIC = "[\u0900-\u0DFF]"
@@ -147,7 +148,8 @@ def group_relative_gaps(spark, sf_dir):
 
 def pair_features(spark, sf_dir):
     pairs = X.records(spark, sf_dir).where("owner_id is not null").select(F.col("owner_id").alias("s1_id"), F.col("entity_id").alias("s23_id"))
-    return P.pair_features(pairs, _normalized(spark, sf_dir))
+    # Both sides of a pair come from the normalised records: written once.
+    return P.pair_features(pairs, stage(_normalized(spark, sf_dir), "normalized"))
 
 
 _R = f"with r as ({COUNTRIES})"

@@ -75,12 +75,7 @@ def extra_token_stats(spark, sf_dir):
 
 
 def translit_mode_purity(spark, sf_dir):
-    d = X.table(spark, sf_dir, "documents")
-    return L.modal_partner(d.select(F.substring_index(F.lower("text"), " ", 1).alias("k"), F.col("lang").alias("y")))
-
-
-def translit_mode_purity_words(spark, sf_dir):
-    """translit_mode_purity over all words of the texts, not the first only."""
+    """The language of each word of the texts."""
     d = X.table(spark, sf_dir, "documents")
     words = d.select(F.explode(F.split(F.lower("text"), r"[ \n\t\r]+")).alias("k"), F.col("lang").alias("y"))
     return L.modal_partner(words.where("k <> ''"))
@@ -160,7 +155,8 @@ def semi_join(spark, sf_dir):
 
 
 def anti_join(spark, sf_dir):
-    o, c = X.table(spark, sf_dir, "orders"), X.table(spark, sf_dir, "customer")
+    """Customers without a costly order."""
+    o, c = X.table(spark, sf_dir, "orders").where("o_totalprice > 480000"), X.table(spark, sf_dir, "customer")
     return c.join(o.select("o_custkey"), c["c_custkey"] == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -213,7 +209,7 @@ def _curve(knots: list[tuple[float, float]]) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (owner_lookup, label_pairs, name_dup_count, core_name_lookup, singleton_stats, gt_explode, owner_uniqueness, extra_token_stats, translit_mode_purity, translit_mode_purity_words, vocab_logprob, entity_split, loco_split, neg_subsample, mask_augment, macro_sample_weights, quantile_threshold, model_metrics, isotonic_apply, isotonic_fit, boosted_ensemble, ensemble_combine, keep_prob_filter, semi_join, anti_join, union_distinct, validator_violations, subset_check, split_merge_roundtrip, candidate_stats)}
+    return {f.__name__: f for f in (owner_lookup, label_pairs, name_dup_count, core_name_lookup, singleton_stats, gt_explode, owner_uniqueness, extra_token_stats, translit_mode_purity, vocab_logprob, entity_split, loco_split, neg_subsample, mask_augment, macro_sample_weights, quantile_threshold, model_metrics, isotonic_apply, isotonic_fit, boosted_ensemble, ensemble_combine, keep_prob_filter, semi_join, anti_join, union_distinct, validator_violations, subset_check, split_merge_roundtrip, candidate_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -231,8 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "gt_explode": f"with {_R} select owner_id as s1_id, entity_id as s23_id from s23 where owner_id is not null",
         "owner_uniqueness": f"with {_P}, o as (select s23_id, count(*) as owners from p where label = 1 group by 1) select count(*) as owned, count_if(owners > 1) as violations from o",
         "extra_token_stats": f"with {_P}, {_R}, x as (select p.s1_id, p.s23_id, label, unnest(list_distinct(list_filter(string_split(lower(b.business_name), ' '), lambda t: not list_contains(string_split(lower(a.business_name), ' '), t)))) as token from p join s1 a on p.s1_id = a.entity_id join s23 b on p.s23_id = b.entity_id), pr as (select avg(label) as prior from (select distinct s1_id, s23_id, label from x)) select token, count(*) as n, round((sum(label) + 20.0::double * any_value(prior)) / (count(*) + 20.0::double), 6) as rate from x, pr group by token having count(*) >= 20",
-        "translit_mode_purity": "with c as (select string_split(lower(text), ' ')[1] as k, lang as y, count(*) as n from documents group by all), b as (select *, row_number() over (partition by k order by n desc, y) as nth, round(n::double / sum(n) over (partition by k), 6) as share from c) select k, y, n, share from b where nth = 1 and n >= 2 and share >= 0.5",
-        "translit_mode_purity_words": "with t as (select unnest(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+')) as k, lang as y from documents), c as (select k, y, count(*) as n from t where k <> '' group by all), b as (select *, row_number() over (partition by k order by n desc, y) as nth, round(n::double / sum(n) over (partition by k), 6) as share from c) select k, y, n, share from b where nth = 1 and n >= 2 and share >= 0.5",
+        "translit_mode_purity": "with t as (select unnest(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+')) as k, lang as y from documents), c as (select k, y, count(*) as n from t where k <> '' group by all), b as (select *, row_number() over (partition by k order by n desc, y) as nth, round(n::double / sum(n) over (partition by k), 6) as share from c) select k, y, n, share from b where nth = 1 and n >= 2 and share >= 0.5",
         "vocab_logprob": "with t as (select unnest(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+')) as token from documents), c as (select token, count(*) as n from t where token <> '' group by token), s as (select sum(n) as total from c) select token, round(ln(n / total::double), 9) as logp from c, s where length(token) >= 2 and n >= 2",
         "entity_split": f"with {_E}, u as (select country, {split} as u from e) select country, case when u < 0.6 then 1 when u < 0.75 then 2 when u < 1.0 then 3 else 0 end as split, count(*) as n from u group by all",
         "loco_split": f"with {_E} select country, case when country = 'india' then 3 when {_share('s1_id', 'loco')} < 0.1 then 2 else 1 end as split, count(*) as n from e group by all",
@@ -245,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "ensemble_combine": f"with {_P}, m as (select s1_id, s23_id, prob as p1, case when fused_rank % 4 > 0 then st_tset / 100.0::double end as p2 from p) select s1_id, s23_id, round(case when p2 is null then p1 * 0.6::double / 0.6::double else (p1 * 0.6::double + p2 * 0.4::double) / (0.6::double + 0.4::double) end, 6) as prob from m",
         "keep_prob_filter": f"with {_P} select grp, count(*) as n from p where greatest(prob, st_tset / 1000.0::double) >= 0.02 group by grp",
         "semi_join": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000)",
-        "anti_join": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+        "anti_join": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 480000)",
         "union_distinct": "select o_orderkey as k from orders union select l_orderkey from lineitem",
         "validator_violations": f"with {_P}, {_E}, {_R}, l0 as (select s1_id, string_agg(s23_id, ',' order by s23_id) as ids from p where prob >= 0.7 group by s1_id), l as (select {line} as line from l0), t as (select line, string_split(line, chr(9)) as q from l), ids as (select q[1] as s1_id, list_filter(list_transform(string_split(q[2], ','), lambda x: trim(x)), lambda x: x <> '') as ids from t where len(q) > 1), ea as (select s1_id, unnest(ids) as id from ids) "
         + " union all ".join([

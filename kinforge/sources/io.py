@@ -40,10 +40,30 @@ def subdirectory(spark: SparkSession, root: str, name: str) -> str | None:
 
 
 def write_lists(lists: DataFrame, path: str, column: str = "matched_entity_ids", mode: str = "errorifexists") -> None:
-    """List file: one row for every entity, ids joined by commas, in order of the entity's id. An
-    existing file is never overwritten unless mode says so."""
-    rows = lists.select(F.concat_ws("\t", F.col("s1_id"), F.array_join("matched", ",")).alias("value")).orderBy("value")
-    rows.write.mode(mode).option("header", False).text(path)
+    """List file: a header, then one row for every entity, ids joined by commas, in the order of column
+    pos if there is one, else of the entity's id. Every part file has the header. An existing file is
+    never overwritten unless mode says so."""
+    order = "pos" if "pos" in lists.columns else "s1_id"
+    rows = lists.orderBy(order).select(F.col("s1_id").alias("source1_entity_id"), F.array_join("matched", ",").alias(column))
+    rows.write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").option("escapeQuotes", False).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def read_header(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file or of the first part of a folder."""
+    line = spark.read.text(path).limit(1).collect()
+    return line[0]["value"] if line else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def list_pairs(lines: DataFrame) -> DataFrame:
+    """(s1_id, s23_id) of the lines of a list file."""
+    p = F.split("line", "\t", 2)
+    ids = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(p, F.lit(2)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return lines.select(F.element_at(p, 1).alias("s1_id"), F.explode(ids).alias("s23_id"))
 
 
 def split_by_country(records: DataFrame, countries: list[str]) -> tuple[DataFrame, DataFrame]:
