@@ -42,47 +42,39 @@ def tree_of(n: int, base: int = 40, racks: int = 2, per_rack: int = 5) -> Tree:
     return Tree((*regions, *[((1.0,),)] * (n - first)))
 
 
-def _draw(names: list[str], weights: list[float], key: Column) -> Column:
-    """The place of the child that wins; ties (practically none) go to the first."""
-    def score(name: str, weight: float) -> Column:
-        digits = F.substring(F.md5(F.concat(F.lit(f"{name}|"), key)), 1, 13)
-        return -F.log((F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)) / F.lit(float(weight))
-
-    live = [(n, w, i) for i, (n, w) in enumerate(zip(names, weights, strict=True)) if w > 0]
-    if len(live) == 1:
-        return F.lit(live[0][2])
-    return F.array_min(F.array(*[F.struct(score(n, w).alias("score"), F.lit(i).alias("place")) for n, w, i in live]))["place"]
-
-
-def _choose(conditions: list[tuple[Column, Column]]) -> Column:
-    out = None
-    for when, value in conditions:
-        out = F.when(when, value) if out is None else out.when(when, value)
-    return out
-
-
-def place(key: Column, tree: Tree) -> dict[str, Column]:
-    """Columns region, rack (in its region) and shard of a key. A null key is a key like any other."""
-    total = [[sum(rack) for rack in region] for region in tree.regions]
-    region = _draw([f"r{i}" for i in range(len(total))], [sum(x) for x in total], key)
-    racks = [(i, _draw([f"r{i}.{j}" for j in range(len(x))], x, key)) for i, x in enumerate(total) if sum(x) > 0]
-    rack = _choose([(region == F.lit(i), c) for i, c in racks])
-    first, shards = 0, []
-    for i, r in enumerate(tree.regions):
-        for j, weights in enumerate(r):
-            if sum(weights) > 0:
-                shards.append((i, j, F.lit(first) + _draw([f"r{i}.{j}.{k}" for k in range(len(weights))], list(weights), key)))
-            first += len(weights)
-    return {"region": region, "rack": rack, "racks": racks, "shards": shards}
+def _draw(weights: Column, name: Column, key: Column) -> Column:
+    """The place of the child that wins; ties (practically none) go to the first. Children are named by
+    their parent's name and their place; without weight they never win."""
+    def score(weight: Column, i: Column) -> Column:
+        digits = F.substring(F.md5(F.concat(name, i.cast("string"), F.lit("|"), key)), 1, 13)
+        drawn = -F.log((F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)) / weight
+        return F.struct(F.when(weight > 0, drawn).otherwise(F.lit(float("inf"))).alias("score"), i.alias("place"))
+
+    return F.array_min(F.transform(weights, score))["place"]
+
+
+def _table(values) -> Column:
+    """Nested tuples of numbers as nested arrays."""
+    return F.array(*[_table(v) for v in values]) if isinstance(values, (tuple, list)) else F.lit(values)
 
 
 def with_shard(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame:
-    """Adds column `out`; each level is its own projection, so that a level is computed once."""
-    p = place(F.coalesce(F.col(key).cast("string"), F.lit("")), tree)
-    df = df.withColumn("_region", p["region"])
-    df = df.withColumn("_rack", _choose([(F.col("_region") == i, c) for i, c in p["racks"]]))
-    df = df.withColumn(out, _choose([((F.col("_region") == i) & (F.col("_rack") == j), c) for i, j, c in p["shards"]]).cast("int"))
-    return df.drop("_region", "_rack")
+    """Adds column `out`; each level is its own projection, so that a level is computed once. A null key
+    is a key like any other."""
+    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    racks = [[float(sum(rack)) for rack in region] for region in tree.regions]
+    shards = [[[float(w) for w in rack] for rack in region] for region in tree.regions]
+    first, n = [], 0
+    for region in tree.regions:
+        first.append([])
+        for rack in region:
+            first[-1].append(n)
+            n += len(rack)
+    r, j = F.col("_region"), F.col("_rack")
+    df = df.withColumn("_region", _draw(_table([sum(x) for x in racks]), F.lit("r"), k))
+    df = df.withColumn("_rack", _draw(F.get(_table(racks), r), F.concat(F.lit("r"), r.cast("string"), F.lit(".")), k))
+    own = _draw(F.get(F.get(_table(shards), r), j), F.concat(F.lit("r"), r.cast("string"), F.lit("."), j.cast("string"), F.lit(".")), k)
+    return df.withColumn(out, (F.get(F.get(_table(first), r), j) + own).cast("int")).drop("_region", "_rack")
 
 
 def shard_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
