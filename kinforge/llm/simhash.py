@@ -1,8 +1,10 @@
 """SimHash fingerprints of word shingles, and near copies by multi-index hashing.
 
 A fingerprint's 64 bits are cut into two segments. If two fingerprints differ in at most two bits, one
-segment differs in at most one: every fingerprint looks for the 33 values of the small Hamming ball
-around each of its segments in the tables of segments, and what it fetches is verified on all 64 bits.
+segment differs in at most one: every fingerprint looks for values of the small Hamming ball around each
+of its segments in the tables of segments, and what it fetches is verified on all 64 bits. Of two
+segments that differ in one bit, one has it unset: so each looks only for its own value and for those
+with one more bit set, half of the ball, and every pair is still found from one of its sides.
 Only distinct fingerprints take part, so exact copies cost one row however many they are.
 """
 
@@ -86,6 +88,11 @@ def _ball(value, bits: int):
     return F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
 
 
+def _upper_ball(value, bits: int):
+    """The value and all values that have one more of the lowest bits set."""
+    return F.array_distinct(F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: value.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
+
+
 def close_pairs(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(a, b) of distinct fingerprints in column fp that differ in one or two bits, each way round or both.
 
@@ -97,7 +104,7 @@ def close_pairs(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     table = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("value")), F.struct(F.lit(1).alias("seg"), low.alias("value")))).alias("s")).select("fp", "s.seg", "s.value")
     counts = materialize(table.groupBy("seg", "value").count().where(F.col("count") > crowded).select("seg", "value"), "crowded")
     probe = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("own")), F.struct(F.lit(1).alias("seg"), low.alias("own")))).alias("s"))
-    probe = probe.select(F.col("fp").alias("a"), "s.seg", F.explode(_ball(F.col("s.own"), 32)).alias("value"))
+    probe = probe.select(F.col("fp").alias("a"), "s.seg", F.explode(_upper_ball(F.col("s.own"), 32)).alias("value"))
     hot = not counts.isEmpty()
     index = table.join(counts, ["seg", "value"], "left_anti") if hot else table
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
