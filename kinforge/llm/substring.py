@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, bounded_batches, slices, trim
+from .common import Words, bounded_batches, slices, trim
 
 WINDOW, GRAM = 20, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,6 +42,9 @@ FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("src_doc", "<i8"), ("src_sta
 #: Input bytes for one block, and blocks that a task reads on average (their number grows with the input;
 #: that of tasks only up to MOST_TASKS, then each reads more blocks).
 BLOCK_BYTES, TASK_BLOCKS, MOST_TASKS = 1536 << 10, 2, 100_000
+#: Bytes of text in a slice: at twice as many a worker of `emit` takes some 60 MB more, and there are as
+#: many at once as an executor has cores.
+SLICE_BYTES = 2 << 20
 #: Words compared at once when factors are extended, and pairs of words in all.
 STEP, PAIRS = 16, 1 << 20
 SPACE, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
@@ -50,20 +53,24 @@ NO_ID = 2**63 - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def grams(h: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     """Hashes of all runs of so many words: polynomials over 64-bit word hashes, from running sums."""
     n = len(h)
-    steps = np.full(n + 1, BASE_INVERSE)
-    steps[0] = 1
-    down = np.multiply.accumulate(steps)
-    steps[1:] = BASE
-    up = np.multiply.accumulate(steps)
-    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(h * down[:n])))
+    total, up = np.full(n + 1, BASE_INVERSE), np.full(n + 1, BASE)
+    total[0] = up[0] = 1
+    np.multiply.accumulate(total, out=total)
+    total[1:] = h * total[:n]
+    total[0] = 0
+    np.add.accumulate(total, out=total)
+    np.multiply.accumulate(up, out=up)
     return [mix((total[k:] - total[:-k]) * up[: n - k + 1]) if n >= k else np.zeros(0, np.uint64) for k in sizes]
 
 
@@ -147,7 +154,7 @@ def stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, p
     """Slices of documents in their order: ids, ties, texts. A text longer than a slice is cut into
     stretches that share WINDOW - 1 words: then also the words before it, and those that begin windows."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
-    for part in slices(batch.filter(pa.array(size <= SLICE_BYTES))):
+    for part in slices(batch.filter(pa.array(size <= SLICE_BYTES)), most=SLICE_BYTES):
         ids, ties = (np.asarray(part.column(c)) for c in ("doc_id", "tie"))
         order = np.lexsort((ties, ids))
         yield ids[order], ties[order], part.column("text").take(pa.array(order)), 0, None
@@ -187,13 +194,16 @@ def emit(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBa
             first = first_places(code, at, hashed)
             known = first != np.arange(len(at))
             # A repeated row (same doc_id, same text) has the windows of the same document again.
-            again = known & (start == start[first]) & (table[doc] == table[doc[first]])
+            again = known.copy()
+            again[known] = (start[known] == start[first[known]]) & (table[doc[known]] == table[doc[first[known]]])
+            del hashed
             out = []
             w, s, n = factorize(code, at, doc, first, known & ~again)
             if len(w):
                 fac = np.zeros(len(w), FACTOR)
                 fac["start"], fac["n"], fac["src_doc"], fac["src_start"] = start[w], n, table["doc"][doc[s]], start[s]
                 out += factor_blobs(table, doc[w], fac, blocks)
+            del first, again, w, s, n
             send = np.flatnonzero(~known)
             if len(send):
                 heads = runs_of((anchor[send], 0), (doc[send], 0), (start[send], 1))
@@ -202,11 +212,12 @@ def emit(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBa
                 run = np.zeros(len(heads), RUN)
                 run["doc"], run["start"], run["n"] = doc[heads], start[heads], n
                 to = (anchor[heads] % np.uint64(blocks)).astype(np.int64)
-                by = np.argsort(to, kind="stable")
+                by, at = np.argsort(to, kind="stable"), at[heads]
+                del send, anchor, doc, start, code
                 size = np.asarray(pc.binary_length(words.flat), dtype=np.int64) + 1
                 ends = np.cumsum(size) - 1  # where words end when one space stands between them
                 data = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.flat.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))[0].as_buffer().to_pybytes()
-                lo, hi = (ends - size + 1)[at[heads]][by].tolist(), ends[at[heads] + n + WINDOW - 2][by].tolist()
+                lo, hi = (ends - size + 1)[at][by].tolist(), ends[at + n + WINDOW - 2][by].tolist()
                 run, to = run[by], to[by]
                 cuts = [*runs_of((to, 0)).tolist(), len(by)]
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):

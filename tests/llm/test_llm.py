@@ -303,6 +303,21 @@ def test_parse_of_long_and_periodic_texts(monkeypatch, size):
     assert parsed_apart(texts) == [(i, gone) for i, _, gone, _ in brute_spans(texts)]
 
 
+def test_a_worker_of_emit_stays_small():
+    """On one Arrow batch of 8 MB of text; twice as much per worker took the pipeline's executors over their limit."""
+    import tracemalloc
+
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(50_000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([0] * 3000), pa.array(texts)], ["doc_id", "tie", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substring.emit(iter([batch]), 100)) and tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_equality_is_that_of_words(monkeypatch):
     """With one hash for all windows the words alone decide."""
     monkeypatch.setattr(substring, "grams", lambda h, sizes: [np.zeros(max(len(h) - k + 1, 0), np.uint64) for k in sizes])
