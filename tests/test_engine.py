@@ -155,6 +155,47 @@ def test_calibration_is_monotone_and_config_round_trips(spark):
     assert EngineConfig.from_json(c.to_json()) == c and c.cap_for("india") == 200 and c.cap_for("us") == 7
 
 
+@pytest.mark.parametrize("cells", [0, 40, 10**9])
+def test_search_equals_brute_force(cells, monkeypatch):
+    """Scored pair by pair, mixed, or as dense products: copies, ties and empty vectors, in several blocks."""
+    import pyarrow as pa
+
+    from kinforge.operators import similarity as S
+
+    monkeypatch.setattr(S, "DENSE", cells)
+    r = random.Random(4)
+    text = lambda: r.choices("abcdefghij", k=r.randint(1, 4))
+    idf = pa.table({"token": list("abcdefghi"), "idf": [1.0 + i / 4 for i in range(9)]})
+    vectors = lambda rows: S.Vectors(pa.table({"part": ["x"] * len(rows), "terms": pa.array(rows, pa.list_(pa.string()))}), idf)
+    ask, found = [text() for _ in range(40)], [text() for _ in range(90)]
+    ids = [sorted(f"{r.randrange(10**9):09}" for _ in range(r.randint(1, 4))) for _ in found]
+    q, best = vectors(ask), S.Best(40, 4, 0.3)
+    for lo in range(0, 90, 30):
+        rows = pa.table({"part": ["x"] * 30, "ids": ids[lo : lo + 30], "terms": found[lo : lo + 30]})
+        S.search(q, S.Index(S.Vectors(rows, idf).table(rows), q.words), best)
+    x = vectors(found)
+    row = lambda v, i: {int(c): w for a, c, w in zip(v.row, v.code, v.w, strict=True) if a == i}
+    for i in range(40):
+        a = row(q, i)
+        all_ = [(-round(sum(w * b.get(c, 0.0) for c, w in a.items()), 6), n) for j in range(90) for b in [row(x, j)] for n in ids[j]]
+        got = best.rows.filter(pa.compute.equal(best.rows.column("q"), i))
+        assert sorted(zip([-s for s in got.column("score").to_pylist()], got.column("id").to_pylist(), strict=True)) == sorted(p for p in all_ if p[0] <= -0.3)[:4]
+
+
+def test_equal_vectors_are_searched_for_once(spark, monkeypatch):
+    """Vectors went to every block of the other side, one for each record; repeated ids are one document."""
+    from kinforge.operators import similarity as S
+
+    made = {}
+    monkeypatch.setattr(S, "stage", lambda df, name: made.setdefault(name, df.localCheckpoint()))
+    rows = [(f"a{i:04}", "s1", "us", "c", ["x", "y", "z"]) for i in range(300)] + [(f"b{i:04}", "s23", "us", "c", ["z", "x", "y"]) for i in range(300)]
+    rows += [("b9999", "s23", "us", "c", ["x"]), ("b9999", "s23", "us", "c", ["y", "z", ""]), ("b9998", "s23", None, "c", ["x"])]
+    docs = spark.createDataFrame(rows, "id string, side string, country string, channel string, terms array<string>")
+    got = S.best_pairs(docs, 3, 0.1, EngineConfig(df_floor=1000)).collect()
+    assert made["queries"].count() == made["searched"].count() == 1 and made["best"].count() == 3
+    assert {(r.s1_id, r.s23_id, r["rank"]) for r in got} == {(f"a{i:04}", f"b{j:04}", j + 1) for i in range(300) for j in range(3)}
+
+
 def test_empty_inputs(spark):
     none = D.groups(pairs_of(spark, []))
     thr = spark.createDataFrame([("us", 0.6)], "grp string, t double")
