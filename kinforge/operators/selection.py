@@ -6,6 +6,11 @@ entities have s1_id and country. Scores are means of F0.5 over entities.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,18 +83,58 @@ def scored(chosen: DataFrame, base: DataFrame, key: list[str], grid: DataFrame)
 
 def ladder_grid(pairs: DataFrame, entities: DataFrame, deltas: tuple[float, ...] = DELTAS, max_links: tuple[int, ...] = MAX_LINKS, config: EngineConfig = CONFIG) -> DataFrame:
     """(d1, d2, d3, max_links, macro_f) of every ladder with non-decreasing deltas, but for the one that
-    changes nothing. Pairs carry t, their group's threshold. The grid has a fixed size and is broadcast."""
+    changes nothing. Pairs carry t, their group's threshold. The grid has a fixed size: a pair carries one
+    bit for each of its points, so pairs are shuffled as they are and not once for each point."""
     spark = pairs.sparkSession
     points = [(a, b, c, m) for m in max_links for a in deltas for b in deltas for c in deltas if a <= b <= c and (m or (a, b, c) != (0.0, 0.0, 0.0))]
-    grid = spark.createDataFrame(points, "d1 double, d2 double, d3 double, max_links int")
+    *steps, links = (np.array(x) for x in zip(*points, strict=True))
+    words = [f"m{i}" for i in range(-(-len(points) // 64))]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The points at which each pair is chosen."""
+        for batch in batches:
+            for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
+                prob, t, rnk = (np.asarray(part.column(c))[:, None] for c in ("prob", "t", "rnk"))
+                delta = np.where(rnk == 1, steps[0], np.where(rnk == 2, steps[1], steps[2]))
+                on = np.where(rnk == 0, prob >= t, prob >= t + delta) & ((links == 0) | (rnk < links) | (prob >= config.certain))
+                on = np.pad(on, ((0, 0), (0, 64 * len(words) - len(points))))
+                masks = np.packbits(on, axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("s1_id", "s23_id", "prob", "label", "w")], *[pa.array(m) for m in masks.T.copy()]], ["s1_id", "s23_id", "prob", "label", "w", *words])
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the entities gain in all at each point over choosing nothing."""
+        total = np.zeros(len(points))
+        for batch in batches:
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                own = part.column("own")
+                size, rows = np.asarray(pc.list_value_length(own), dtype=np.int64), own.flatten()
+                masks = np.stack([np.asarray(rows.field(m), dtype=np.int64) for m in words], axis=1)
+                on = np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little")[:, : len(points)].astype(np.float64)
+                heads = np.cumsum(size) - size  # a group has a pair at least
+                tp, n, any_ = (np.add.reduceat(on * x[:, None], heads) for x in (np.asarray(rows.field("label"), dtype=np.float64), np.asarray(rows.field("w")), np.ones(len(on))))
+                true = np.asarray(part.column("n_true"))[:, None]
+                bottom = (1 + E.BETA2) * tp + E.BETA2 * (true - tp) + (n - tp)
+                f = np.where(true == 0, n == 0, np.where(bottom > 0, (1 + E.BETA2) * tp / np.where(bottom > 0, bottom, 1.0), 0.0))
+                total += np.where(any_ > 0, f - (true == 0), 0.0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points)), pa.int32()), pa.array(total)], ["i", "gain"])
+
     by = Window.partitionBy("s1_id")
     rows = pairs.withColumns({"rnk": F.row_number().over(by.orderBy(F.desc("prob"), "s23_id")) - 1, "hit": F.col("prob") >= F.col("t")})
     rows = rows.withColumn("anchored", F.bool_or("hit").over(by)).where(F.col("anchored") & (F.col("prob") >= F.col("t") + min(deltas)))
-    delta = F.when(F.col("rnk") == 1, F.col("d1")).when(F.col("rnk") == 2, F.col("d2")).otherwise(F.col("d3"))
-    fits = F.when(F.col("rnk") == 0, F.col("hit")).otherwise(F.col("prob") >= F.col("t") + delta)
-    capped = (F.col("max_links") == 0) | (F.col("rnk") < F.col("max_links")) | (F.col("prob") >= config.certain)
-    chosen = rows.join(F.broadcast(grid), fits & capped)
-    return scored(chosen, truth_counts(pairs, entities), ["d1", "d2", "d3", "max_links"], grid)
+    kinds = "s1_id string, s23_id string, prob double, label int, w double, " + ", ".join(f"{m} long" for m in words)
+    chosen = rows.select("s1_id", "s23_id", "prob", "t", "rnk", F.col("label").cast("int").alias("label"), weight().alias("w")).mapInArrow(bits, kinds)
+    # A record goes, at each point, to the first of its pairs that is chosen there.
+    before = Window.partitionBy("s23_id").orderBy(F.desc("prob"), "s1_id").rowsBetween(Window.unboundedPreceding, -1)
+    free = [F.col(m).bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or(m).over(before), F.lit(0).cast("long")))).alias(m) for m in words]
+    owned = chosen.select("s1_id", "label", "w", *free)
+    base = truth_counts(pairs, entities)
+    got = owned.groupBy("s1_id").agg(F.collect_list(F.struct("label", "w", *words)).alias("own")).join(base.select("s1_id", "n_true"), "s1_id").select("own", "n_true")
+    gain = got.mapInArrow(gains, "i int, gain double").groupBy("i").agg(F.sum("gain").alias("gain"))
+    empty = E.f_half(F.lit(0.0), F.lit(0.0), F.col("n_true"))
+    total = base.agg(F.count("*").alias("entities"), F.sum(empty).alias("f0"))
+    grid = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, d1 double, d2 double, d3 double, max_links int")
+    rows = grid.join(F.broadcast(gain), "i", "left").crossJoin(F.broadcast(total))  # one row of totals
+    return rows.select("d1", "d2", "d3", "max_links", F.round((F.col("f0") + F.coalesce("gain", F.lit(0.0))) / F.col("entities"), 6).alias("macro_f"))
 
 
 def rescue_grid(pairs: DataFrame, entities: DataFrame, points: tuple[float, ...] = RESCUE_GRID, config: EngineConfig = CONFIG) -> DataFrame:

@@ -196,6 +196,16 @@ def test_equal_vectors_are_searched_for_once(spark, monkeypatch):
     assert {(r.s1_id, r.s23_id, r["rank"]) for r in got} == {(f"a{i:04}", f"b{j:04}", j + 1) for i in range(300) for j in range(3)}
 
 
+def test_ladder_grid_moves_pairs_once(spark):
+    """Pairs were shuffled once for each of the grid's points where they were chosen."""
+    from kinforge.operators import selection as C
+
+    rows = [(f"S1-{i % 50}", f"S2-{i % 90}", "us", False, i % 2, i % 100 / 100, 1.9, 0.3) for i in range(450)]
+    pairs = spark.createDataFrame(rows, "s1_id string, s23_id string, country string, addr_empty boolean, label int, prob double, weight double, t double")
+    plan = C.ladder_grid(pairs, pairs.select("s1_id", "country").distinct())
+    assert plan.count() == 167 and "NestedLoopJoin BuildRight, Inner" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_inputs(spark):
     none = D.groups(pairs_of(spark, []))
     thr = spark.createDataFrame([("us", 0.6)], "grp string, t double")
