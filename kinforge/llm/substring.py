@@ -30,6 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import Words, bounded_batches, slices, trim
 
@@ -45,6 +46,8 @@ BLOCK_BYTES, TASK_BLOCKS, MOST_TASKS = 1536 << 10, 2, 100_000
 #: Bytes of text in a slice: at twice as many a worker of `emit` takes some 60 MB more, and there are as
 #: many at once as an executor has cores.
 SLICE_BYTES = 2 << 20
+#: zstd levels of stretches and of texts that wait for their factors.
+LEVEL, TEXT_LEVEL = 6, 3
 #: Words compared at once when factors are extended, and pairs of words in all.
 STEP, PAIRS = 16, 1 << 20
 SPACE, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
@@ -177,7 +180,7 @@ def stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, p
 def emit(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, blob) of a task's slices: stretches for their blocks, and the factors that a slice
     has already found in itself, to be passed on."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
     for batch in batches:
         for ids, ties, texts, before, most in stretches(batch):
             words = Words(texts)
@@ -359,9 +362,36 @@ def spans(blob: bytes | None) -> list[dict]:
     return out
 
 
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with each text as a zstd frame; null stays null."""
+    squeeze = zstandard.ZstdCompressor(level=TEXT_LEVEL).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = pa.array([None if t is None else squeeze(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+        yield batch.set_column(at, "text", texts)
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `squeezed` with their texts again, about SLICE_BYTES of text at a time (a longer one alone)."""
+    open_, size = zstandard.ZstdDecompressor().decompress, zstandard.frame_content_size
+    for batch in batches:
+        at, frames, lo, held, got = batch.schema.get_field_index("text"), batch.column("text"), 0, 0, []
+        for row, frame in enumerate(frames):
+            frame = frame.as_py()
+            n = size(frame) if frame is not None else 0
+            if got and held + n > SLICE_BYTES:
+                yield batch.slice(lo, row - lo).set_column(at, "text", pa.array(got, pa.binary()).view(pa.string()))
+                lo, held, got = row, 0, []
+            got.append(open_(frame) if n else None if frame is None else b"")
+            held += n
+        if got:
+            yield batch.slice(lo).set_column(at, "text", pa.array(got, pa.binary()).view(pa.string()))
+
+
 def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents with their factors: doc_id, text, factors (list of blobs of FACTOR rows; null if
-    none), and a struct `carried` of the columns to carry along."""
+    none), and a struct `carried` of the columns to carry along. Texts come `squeezed`, as they meet their
+    factors by a shuffle."""
     other = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
     rows = bounded_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), other.alias("carried"))
     # Texts of one doc_id are told apart by a hash; where no id is repeated, none has to travel along.
@@ -378,7 +408,8 @@ def with_factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     found = sent.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(parse, FOUND)
     per_doc = found.groupBy("doc_id", "tie").agg(F.collect_list("factors").alias("_list"))
     per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "_list")
-    return rows.join(per_doc, ["_doc", "_tie"], "left").select("doc_id", "text", F.col("_list").alias("factors"), *(["carried"] if carry else []))
+    small = rows.mapInArrow(squeezed, StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in rows.schema]))
+    return small.join(per_doc, ["_doc", "_tie"], "left").select("doc_id", "text", F.col("_list").alias("factors"), *(["carried"] if carry else []))
 
 
 def _joined(values: list | None) -> bytes | None:
@@ -395,7 +426,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in opened(batches):
             for part in slices(batch):
                 words = Words(part.column("text"))
                 gone = covered(words, [_joined(x) for x in part.column("factors").to_pylist()])
@@ -428,7 +459,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("src_doc", pa.int64()), ("src_start", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in opened(batches):
             for part in slices(batch):
                 texts, blobs = _kept_texts(part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array([spans(b) for b in blobs], kind)], ["doc_id", "text", "spans"])
@@ -441,7 +472,7 @@ def replace_texts(docs: DataFrame) -> DataFrame:
     other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in opened(batches):
             for part in slices(batch):
                 texts, _ = _kept_texts(part)
                 cols = {"doc_id": part.column("doc_id"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}

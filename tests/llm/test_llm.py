@@ -278,6 +278,19 @@ def test_substring(spark, documents, rows, odd, none):
     assert again.columns == odd.columns and again.count() == odd.count()
 
 
+def test_texts_wait_for_their_factors_squeezed(spark, monkeypatch):
+    """Texts met their factors as they are, which took a third of the disk of this operator."""
+    r = random.Random(2)
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=400))) for i in range(40)] + [(40, None), (41, ""), (42, "\u00e9 \U0001f600")]
+    got = substring.with_factors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(len(x.text or b"") for x in got) < 0.6 * sum(len(t or "") for _, t in rows)
+    monkeypatch.setattr(substring, "SLICE_BYTES", 10_000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [x.doc_id for x in got], "text": pa.array([x.text for x in got], pa.binary())})
+    parts = list(substring.opened(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 5 and sorted((i, t) for p in parts for i, t in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)) == rows
+
+
 def parsed_apart(texts, blocks=7):
     """Words that emit and parse cover, run here and not in Spark."""
     ids = [i for i, _ in texts]
