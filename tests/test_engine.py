@@ -196,6 +196,29 @@ def test_equal_vectors_are_searched_for_once(spark, monkeypatch):
     assert {(r.s1_id, r.s23_id, r["rank"]) for r in got} == {(f"a{i:04}", f"b{j:04}", j + 1) for i in range(300) for j in range(3)}
 
 
+def test_blocks_fuse_as_rows_do(spark, monkeypatch):
+    """Candidates were expanded to rows of every entity and shuffled; now they only come up in a block's task."""
+    from kinforge.operators import fusion as B
+    from kinforge.operators import retrieval as R
+    from kinforge.operators import similarity as S
+
+    monkeypatch.setattr(B, "PASS", 20)
+    r, c, channels = random.Random(6), EngineConfig(df_floor=1000), ("a", "b")
+    rows = [(f"{s}{i:03}", side, "us" if i % 3 else "france", ch, r.choices("uvwxyz", k=r.randint(1, 3))) for s, side, n in (("p", "s1", 30), ("q", "s23", 50)) for i in range(n) for ch in channels]
+    docs = spark.createDataFrame(rows, "id string, side string, country string, channel string, terms array<string>").localCheckpoint()
+    forward = S.best_pairs(docs, 9, 0.1, c).localCheckpoint()
+    reverse = S.best_pairs(docs.where("channel = 'b'"), 2, 0.1, c, of="s23").localCheckpoint()
+    lists, members, blocks = S.best_classes(docs, 9, 0.1, c, block=200)
+    assert blocks > 1
+    columns = {"n_channels": "long", "min_rank": "int", "sum_score": "double", "rrf": "double", "fused_rank": "int"}
+    schema = "s1_id string, s23_id string, " + ", ".join(" ".join(x) for x in columns.items())
+    then = lambda f: f.ids() | {x: f.fused_rank() if x == "fused_rank" else getattr(f, x) for x in columns}
+    got = B.by_blocks(lists, members, blocks, channels, then, schema, c, reverse)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "others" in plan and "Window" not in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.fuse(forward, reverse, c).select("s1_id", "s23_id", *columns).collect()))
+
+
 def test_ladder_grid_moves_pairs_once(spark):
     """Pairs were shuffled once for each of the grid's points where they were chosen."""
     from kinforge.operators import selection as C
