@@ -196,6 +196,46 @@ def test_equal_vectors_are_searched_for_once(spark, monkeypatch):
     assert {(r.s1_id, r.s23_id, r["rank"]) for r in got} == {(f"a{i:04}", f"b{j:04}", j + 1) for i in range(300) for j in range(3)}
 
 
+def test_blocks_hold_their_words_once():
+    """Every reading of a searched block looked up each row's tokens as strings; now its words alone, in any order of rows."""
+    import pyarrow as pa
+
+    from kinforge.operators import similarity as S
+
+    idf = pa.table({"token": ["d", "c", "b", "a"], "idf": [1.0, 1.5, 2.0, 2.5]})
+    row = lambda ids, terms: pa.table({"part": ["x"] * len(ids), "ids": pa.array(ids, pa.list_(pa.string())), "terms": pa.array(terms, pa.list_(pa.string()))})
+    found = row([["9"], ["3", "4"], ["1"]], [["a", "b", "a"], ["b", "c"], ["unknown"]])
+    t = S.Vectors(found, idf).table(found)
+    assert t.column("ids").to_pylist() == [["1"], ["3", "4"], ["9"]] and t.schema.field("codes").type.value_type == pa.int32()
+    assert sorted(sum(t.column("words").to_pylist(), [])) == ["a", "b", "c", "d"]
+    ask = row([["q"]] * 3, [["b"], ["a", "z"], ["z"]])
+    q = S.Vectors(ask, pa.table({"token": ["z", "b", "a"], "idf": [1.0, 2.0, 2.5]}))
+    out = []
+    for rows in (t, t.take([2, 0, 1])):
+        best = S.Best(3, 2, 0.1)
+        S.search(q, S.Index(rows, q.words), best)
+        out.append(best.rows.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")]).to_pydict())
+    assert out[0] == out[1] and list(zip(out[0]["q"], out[0]["id"], strict=True)) == [(0, "3"), (0, "4"), (1, "9")]
+
+
+def test_terms_are_made_distinct_once(spark, monkeypatch):
+    """A filter that the planner made of explode() found every record's distinct terms a second time, and IDs were shuffled whole."""
+    from kinforge.operators import similarity as S
+
+    plans = {}
+    real = S.stage
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(S, "stage", staged)
+    rows = [("a1", "s1", "us", "c", ["x", "y", "y"]), ("b1", "s23", "us", "c", ["y", "x", "x", ""]), ("b2", "s23", "us", "c", ["", ""]), ("b3", "s23", "us", "c", None)]
+    docs = spark.createDataFrame(rows, "id string, side string, country string, channel string, terms array<string>").localCheckpoint()
+    got = S.best_pairs(docs, 3, 0.1, EngineConfig(df_floor=1000)).collect()
+    assert [(r.s1_id, r.s23_id) for r in got] == [("a1", "b1")] and plans["df"].count("array_distinct") == 1 and "n" in plans
+
+
 def test_blocks_fuse_as_rows_do(spark, monkeypatch):
     """Candidates were expanded to rows of every entity and shuffled; now they only come up in a block's task."""
     from kinforge.operators import fusion as B
